@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dirlens.functions.elements import explode_elements
 from dirlens.functions.measures import rows
 from dirlens.schema import DATASETS
 
@@ -31,22 +32,26 @@ def value_counts(
     limit: int | None = None,
     per_dataset: int | None = None,
     order: str = "occurrences",
+    present: str | None = None,
 ) -> DataFrame:
     """Occurrences of each combination of ``fields`` per dataset, most frequent first.
 
-    ``elements`` is an array that is exploded first; fields may then refer to ``element``. The
+    ``elements`` is an array that is exploded first; fields may then refer to ``element``.
+    ``present`` is a flag of the rows that count, all of them by default. The
     aggregate combines on the map side, so a value that fills a third of all rows reaches the
     exchange as one row per task. ``limit`` keeps the first rows of the whole report and
     ``per_dataset`` the first of each dataset. Ties are broken by the field values, NULL last.
     """
     if elements is not None:
-        df = df.select(DATASET, F.explode(elements).alias("element"))
+        df = explode_elements(df, [DATASET], elements, "element")
     named = {n: (F.col(f) if isinstance(f, str) else f) for n, f in fields.items()}
     counted = (
-        df.select(DATASET, *[f.alias(n) for n, f in named.items()])
+        df.select(DATASET, *[f.alias(n) for n, f in named.items()], *([present] if present else []))
         .groupBy(DATASET, *named)
-        .agg(rows().alias("occurrences"))
+        .agg((F.count_if(present) if present else rows()).alias("occurrences"))
     )
+    if present:
+        counted = counted.filter("occurrences > 0")
     values = [F.asc_nulls_last(n) for n in named]
     frequency = [] if order == "value" else [F.desc("occurrences")]
     if per_dataset is not None:

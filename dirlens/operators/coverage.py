@@ -1,7 +1,9 @@
 """One-scan coverage reports: how many rows, and which share of them, satisfy a flag.
 
 All of them are a single grouped aggregate. Map-side partial aggregation leaves one row per
-task and group, so the exchange stays tiny whatever the size of a group.
+task and group, so the exchange stays tiny whatever the size of a group. Conditions are part of
+the aggregates and not filters in front of them: a filter on a document member would be pushed
+down and the member would be extracted twice.
 """
 
 from __future__ import annotations
@@ -43,6 +45,17 @@ def flag_report(
     return df.groupBy(by).agg(*measures).orderBy(by)
 
 
+def _among(df: DataFrame, present: str, total: str, flag: Column, has: str, share: str) -> DataFrame:
+    """Count and percentage of a flag among the rows with ``present``; groups without any are left out."""
+    among, both = F.count_if(present), F.count_if(F.col(present) & flag)
+    return (
+        df.groupBy(DATASET)
+        .agg(among.alias(total), both.alias(has), percent(both, among).alias(share))
+        .filter(F.col(total) > 0)
+        .orderBy(DATASET)
+    )
+
+
 def field_completeness(df: DataFrame, fields: Mapping[str, Column | str], total: str = "total") -> DataFrame:
     """Percentage of rows in which each field is present, any number of fields in one scan."""
     return flag_report(df, shares=fields, total=total)
@@ -72,7 +85,7 @@ def extension_coverage(
     """
     matches = has_substring(F.col("extension_urls"), pattern)
     if denominator == "only_rows_with_extension":
-        return flag_report(df.filter("has_extension"), {has: matches}, {share: matches}, total)
+        return _among(df, "has_extension", total or "total", matches, has, share)
     if denominator not in ("with_extension", "rows"):
         raise ValueError(f"unknown denominator {denominator!r}")
     base = "has_extension" if denominator == "with_extension" else None
@@ -109,7 +122,7 @@ def coding_coverage(
     """Rows with a coding of ``system``, out of all rows or of the rows that have the field."""
     coded = has_value(F.col(codings).getField("system"), system)
     if denominator == "present":
-        return flag_report(df.filter(F.col(present)), {has: coded}, {share: coded}, total)
+        return _among(df, present, total, coded, has, share)
     if denominator != "rows":
         raise ValueError(f"unknown denominator {denominator!r}")
     counts: dict[str, Column | str] = {has_present: present} if has_present else {}
@@ -136,12 +149,14 @@ def array_length_stats(df: DataFrame, size: str, present: str, names: Sequence[s
     """Average, longest and shortest array among the rows that have it."""
     average, longest, shortest = names
     return (
-        df.filter(F.col(present))
-        .groupBy(DATASET)
+        df.groupBy(DATASET)
         .agg(
+            F.count_if(present).alias("with_array"),
             F.round(F.avg(size), 2).alias(average),
             F.max(size).cast("long").alias(longest),
             F.min(size).cast("long").alias(shortest),
         )
+        .filter("with_array > 0")
+        .drop("with_array")
         .orderBy(DATASET)
     )

@@ -89,42 +89,35 @@ def resolve_reference_lists(
     """Resolution of a multi-valued reference field.
 
     A row counts as resolved when at least one of its references does; the single references
-    are counted as well. Rows without references stay in the totals.
+    are counted as well. Rows without references travel along with a NULL target.
     """
-    totals = source.select(
+    links = source.select(
+        DATASET, "fhir_id", present, F.posexplode_outer(references).alias("position", "reference")
+    ).select(
         DATASET,
-        F.lit(1).alias("total"),
-        (~F.col(present)).cast("int").alias("missing"),
-        F.lit(0).alias("resolved_rows"),
-        F.lit(0).alias("n_references"),
-        F.lit(0).alias("resolved_references"),
+        "fhir_id",
+        F.col(present).alias("present"),
+        F.col("position").isNotNull().alias("is_reference"),
+        reference_id(F.col("reference"), parse).alias("target_id"),
     )
-    links = source.select(
-        DATASET, "fhir_id", F.explode(references).alias("reference")
-    ).select(DATASET, "fhir_id", reference_id(F.col("reference"), parse).alias("target_id"))
     documents = target.select(DATASET, F.col("fhir_id").alias("target_id"))
-    flagged = exists_flag(links, documents, on=KEY, spread_by="fhir_id", flag="found")
-    per_row = flagged.groupBy(DATASET, "fhir_id").agg(
-        F.max(F.col("found").cast("int")).alias("resolved_rows"),
-        rows().cast("int").alias("n_references"),
-        F.count_if("found").cast("int").alias("resolved_references"),
-    )
-    resolved = per_row.select(
-        DATASET,
-        F.lit(0).alias("total"),
-        F.lit(0).alias("missing"),
-        "resolved_rows",
-        "n_references",
-        "resolved_references",
+    per_row = (
+        exists_flag(links, documents, on=KEY, spread_by="fhir_id", flag="found")
+        .groupBy(DATASET, "fhir_id")
+        .agg(
+            F.bool_or("present").alias("present"),
+            F.bool_or("found").alias("found"),
+            F.count_if("is_reference").alias("n_references"),
+            F.count_if("found").alias("resolved_references"),
+        )
     )
     return (
-        totals.unionByName(resolved)
-        .groupBy(DATASET)
+        per_row.groupBy(DATASET)
         .agg(
-            F.sum("total").alias("total"),
-            F.sum("missing").alias("missing"),
-            F.sum(F.col("total") - F.col("missing")).alias("present"),
-            F.sum("resolved_rows").alias("resolved"),
+            rows().alias("total"),
+            F.count_if(~F.col("present")).alias("missing"),
+            F.count_if("present").alias("present"),
+            F.count_if("found").alias("resolved"),
             F.sum("n_references").alias("n_references"),
             F.sum("resolved_references").alias("resolved_references"),
         )

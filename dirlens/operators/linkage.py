@@ -20,7 +20,10 @@ KEY = [DATASET, "entity_id"]
 def _meet(
     entities: DataFrame, own: Mapping[str, Column], links: DataFrame, entity_id: Column, linked: Mapping[str, Column]
 ) -> DataFrame:
-    """One row per entity: its own flags, and each link flag true when any link has it."""
+    """One row per entity: its own flags, and each link flag true when any link has it.
+
+    Links without an id fold into one row per task under a NULL key, which is no entity.
+    """
     sides = [
         entities.select(
             DATASET,
@@ -37,7 +40,7 @@ def _meet(
             F.lit(True).alias("is_linked"),
             *[F.lit(False).alias(n) for n in own],
             *[flag.alias(n) for n, flag in linked.items()],
-        ).filter("entity_id is not null"),
+        ),
     ]
     flags = ["is_entity", "is_linked", *own, *linked]
     return (
@@ -51,7 +54,7 @@ def _meet(
 
 def linked_coverage(entities: DataFrame, keyed: Column, links: DataFrame, entity_id: Column) -> DataFrame:
     """Of the entities that satisfy ``keyed``: how many have at least one link."""
-    met = _meet(entities.filter(keyed), {}, links, entity_id, {})
+    met = _meet(entities, {"keyed": keyed}, links, entity_id, {}).filter("keyed")
     linked = F.count_if("is_linked")
     return (
         met.groupBy(DATASET)
@@ -88,13 +91,18 @@ def directory_completeness(
     )
 
 
-def fanout_distribution(links: DataFrame, entity_id: Column) -> DataFrame:
+def fanout_distribution(links: DataFrame, present: str, entity_id: Column) -> DataFrame:
     """Minimum, maximum, mean, exact median and 1 / 2 / 3+ classes of links per entity.
 
     Links whose reference names no entity form one group, as any other key. The per-entity
     counts are reduced to a histogram first, which keeps the exact median small.
     """
-    counted = links.select(DATASET, entity_id.alias("entity_id")).groupBy(*KEY).agg(rows().alias("n"))
+    counted = (
+        links.select(DATASET, entity_id.alias("entity_id"), present)
+        .groupBy(*KEY)
+        .agg(F.count_if(present).alias("n"))
+        .filter("n > 0")
+    )
     histogram = counted.groupBy(DATASET, "n").agg(rows().alias("entities"))
     n, entities = F.col("n"), F.col("entities")
     return (

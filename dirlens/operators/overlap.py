@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dirlens.functions.elements import explode_elements
 from dirlens.schema import DATASET_A, DATASET_B
 
 DATASET = "source_dataset"
@@ -41,9 +42,8 @@ def key_overlap(
 def identifier_values(df: DataFrame, systems: Sequence[str], alias: str = "npi") -> DataFrame:
     """One row per document and distinct identifier value of ``systems``, NULL values included."""
     wanted = F.filter("identifiers", lambda e: e["system"].isin(*systems))
-    return df.select(
-        DATASET, "fhir_id", F.explode(F.array_distinct(F.transform(wanted, lambda e: e["value"]))).alias(alias)
-    )
+    values = F.array_distinct(F.transform(wanted, lambda e: e["value"]))
+    return explode_elements(df, [DATASET, "fhir_id"], values, alias)
 
 
 def value_overlap(

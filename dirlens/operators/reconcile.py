@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dirlens.functions.elements import explode_elements
 from dirlens.functions.measures import ratio
 from dirlens.schema import DATASET_A, DATASET_B
 
@@ -42,13 +43,8 @@ def _preferred(value: str, rows: Column | None = None) -> Column:
 
 def _keyed(df: DataFrame, systems: Sequence[str], columns: Sequence[str]) -> DataFrame:
     wanted = F.filter("identifiers", lambda e: e["system"].isin(*systems) & e["value"].isNotNull())
-    return df.select(
-        DATASET,
-        "fhir_id",
-        "last_updated",
-        F.explode(F.array_distinct(F.transform(wanted, lambda e: e["value"]))).alias("npi"),
-        *columns,
-    )
+    values = F.array_distinct(F.transform(wanted, lambda e: e["value"]))
+    return explode_elements(df, [DATASET, "fhir_id", "last_updated", *columns], values, "npi")
 
 
 def consolidate(df: DataFrame, systems: Sequence[str], attributes: Sequence[str]) -> DataFrame:

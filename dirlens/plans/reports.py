@@ -653,8 +653,9 @@ def availability_weekdays(d: Directory) -> DataFrame:
 @report
 def endpoint_connection_types(d: Directory) -> DataFrame:
     return counts.value_counts(
-        d["endpoints"].filter("has_connectionType"),
+        d["endpoints"],
         {"connection_type_system": "connection_system", "connection_type_code": "connection_code"},
+        present="has_connectionType",
     )
 
 
@@ -666,17 +667,13 @@ def endpoint_status(d: Directory) -> DataFrame:
 # --- linkage -------------------------------------------------------------------------------
 
 
-def _linked_roles(d: Directory) -> DataFrame:
-    return d["practitioner_roles"].filter("has_practitioner")
-
-
 def _practitioner_id() -> Column:
     return last_segment(F.col("practitioner_ref"))
 
 
 @report
 def practitioner_role_coverage(d: Directory) -> DataFrame:
-    return linkage.linked_coverage(d["practitioners"], _has_npi(), _linked_roles(d), _practitioner_id())
+    return linkage.linked_coverage(d["practitioners"], _has_npi(), d["practitioner_roles"], _practitioner_id())
 
 
 @report
@@ -691,7 +688,7 @@ def directory_completeness(d: Directory) -> DataFrame:
             "gender": F.col("has_gender"),
             "qualification": F.col("has_qualification"),
         },
-        _linked_roles(d),
+        d["practitioner_roles"],
         _practitioner_id(),
         {
             "specialty": F.col("has_specialty"),
@@ -723,7 +720,7 @@ def directory_completeness(d: Directory) -> DataFrame:
 
 @report
 def roles_per_practitioner(d: Directory) -> DataFrame:
-    return linkage.fanout_distribution(_linked_roles(d), _practitioner_id())
+    return linkage.fanout_distribution(d["practitioner_roles"], "has_practitioner", _practitioner_id())
 
 
 # --- hierarchy, anomalies ------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirlens.schema import DATASET_A, DATASET_B, NPI_SYSTEM_A, NPI_SYSTEM_B, SPECIALTY_SYSTEM, SSN_SYSTEM
+from dirlens.sources.partitions import spread
 
 BASE = "http://dir.example.org/fhir/"
 EXAMPLE = "http://directory.example.org"
@@ -31,6 +32,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become one document each."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def _ref(kind: str, name: str) -> str:
     """A reference object, relative in dataset-a and absolute in dataset-b."""
     return f"named_struct('reference', concat(if(a, '', '{BASE}'), '{kind}/', {name}))"
@@ -70,7 +76,7 @@ def _organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     uuid = f"named_struct('system', '{SSN_SYSTEM}', 'value', concat('00000000-0000-4000-8000-', lpad(k, 12, '0')))"
     legacy = "named_struct('system', cast(null as string), 'value', concat('legacy-', k))"
     return _render(
-        _table(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "k", "s_nationkey": "nk"}),
+        _rows(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "k", "s_nationkey": "nk"}),
         "organizations",
         "Organization",
         "concat('org-', k)",
@@ -106,7 +112,7 @@ def _practitioners(spark: SparkSession, sf_dir: str) -> DataFrame:
     qualified = _extension("base-ext-qualification")
     code = _concept(f"'{SPECIALTY_SYSTEM}'", "concat('Q', i)", "concat('Qualification ', i)")
     return _render(
-        _table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"),
+        _rows(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"),
         "practitioners",
         "Practitioner",
         "concat('prac-', if(a, 'a-', 'b-'), k)",
@@ -144,7 +150,7 @@ def _practitioner_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     new_patients, network, rating = _extension("newpatients"), _extension("network"), _extension("rating")
     places = f"concat(if(a, '', '{BASE}'), 'Location/loc-', o_custkey + i)"
     return _render(
-        _table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"),
+        _rows(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"),
         "practitioner_roles",
         "PractitionerRole",
         "concat('role-', if(a, 'a-', 'b-'), k)",
@@ -181,7 +187,7 @@ def _practitioner_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(
-        _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k"),
+        _rows(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k"),
         "locations",
         "Location",
         "concat('loc-', k)",
@@ -202,7 +208,7 @@ def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(
-        _table(spark, sf_dir, "events").withColumnRenamed("event_id", "k"),
+        _rows(spark, sf_dir, "events").withColumnRenamed("event_id", "k"),
         "endpoints",
         "Endpoint",
         "concat('ep-', k)",
