@@ -400,6 +400,12 @@ _LOCATION_LINKS = """links AS (SELECT r.source_dataset, r.k, r.loc, l.fhir_id IS
   FROM (SELECT source_dataset, k, unnest(location_ids) AS loc FROM role) r
   LEFT JOIN loc l ON l.source_dataset = r.source_dataset AND l.fhir_id = r.loc)"""
 
+_SENT = """WITH all_lines AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'first' ELSE 'second' END AS part
+  FROM (SELECT 'dataset-a' AS source_dataset, * FROM events UNION ALL SELECT 'dataset-b', * FROM events WHERE value >= 50))"""
+_LAST_WRITES = f"""{_SENT}, sent AS (SELECT * FROM all_lines WHERE event_type <> 'error')
+SELECT source_dataset, 'ep-' || user_id AS fhir_id, strftime(arg_max(ts, event_id), '%Y-%m-%dT%H:%M:%SZ') AS last_updated,
+  arg_max(event_type, event_id) AS status, 'https://ep.example.org/' || max(event_id) AS address"""
+
 EXPECTED: dict[str, str] = {
     "run_report": _with(
         "runs",
@@ -830,4 +836,14 @@ EXPECTED: dict[str, str] = {
         + " FROM keyed GROUP BY npi HAVING count(*) FILTER (WHERE NOT a) > 0",
         _ORG_KEYED,
     ),
+    "ingest_upsert": f"{_LAST_WRITES} FROM sent GROUP BY source_dataset, user_id",
+    "incremental_ingest": f"{_LAST_WRITES} FROM sent WHERE source_dataset = 'dataset-a' GROUP BY source_dataset, user_id",
+    "ingest_run_log": f"{_SENT} SELECT part || '.ndjson' AS source_file, source_dataset, 'endpoints' AS resource_type, "
+    "count(*) FILTER (WHERE event_type <> 'error') AS record_count, count(*) FILTER (WHERE event_type = 'error') AS error_count, "
+    "0::bigint AS blank_count, count(*) FILTER (WHERE event_type <> 'error') - count(DISTINCT user_id) FILTER (WHERE event_type <> 'error') "
+    "AS duplicate_count FROM all_lines GROUP BY source_dataset, part",
+    "ingest_totals": f"{_SENT} SELECT source_dataset, count(*) FILTER (WHERE event_type <> 'error') AS records, "
+    "count(*) FILTER (WHERE event_type = 'error') AS errors FROM all_lines GROUP BY source_dataset",
+    "ingest_rejected": f"{_SENT} SELECT source_dataset, 'not a document' AS problem, count(*) AS lines FROM all_lines "
+    "WHERE event_type = 'error' GROUP BY source_dataset",
 }
