@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlens.schema import DATASETS, RESOURCES
 from dirlens.sources.partitions import spread
 
 # Position of a line: later files, later blocks and later lines win.
@@ -32,6 +34,13 @@ class Delivery:
         return self.path.rstrip("/").rsplit("/", 1)[-1]
 
 
+def manifest(
+    root: str, suffix: str = "ndjson.zst", datasets: Sequence[str] = DATASETS, resources: Sequence[str] = RESOURCES
+) -> list[list[Delivery]]:
+    """The deliveries ``<root>/<dataset>/<resource>.<suffix>``, one group per resource."""
+    return [[Delivery(f"{root}/{ds}/{r}.{suffix}", ds, r) for ds in datasets] for r in resources]
+
+
 def with_origin(lines: DataFrame) -> DataFrame:
     """Text lines with the file and the file split they come from."""
     return lines.select(

@@ -70,8 +70,11 @@ class Store:
     def _path(self, kind: str, resource: str) -> str:
         return f"{self.root}/{kind}/{resource}"
 
+    def _place(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def _existing(self, path: str) -> DataFrame | None:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place = self._place(path)
         found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
         return self.spark.read.parquet(path) if found else None
 
@@ -119,6 +122,11 @@ class Store:
             round((end - start) * 1000),
         )
 
+    def ingest_all(self, groups: Sequence[Sequence[Delivery]], on_reject: str = "quarantine") -> None:
+        """Load groups of deliveries, one resource after the other; the first failure ends the run."""
+        for deliveries in groups:
+            self.ingest(deliveries, on_reject)
+
     def ingest(self, deliveries: Sequence[Delivery], on_reject: str = "quarantine") -> None:
         """Load deliveries of one resource: stage, validate, merge, log.
 
@@ -143,6 +151,9 @@ class Store:
         stored = self.upsert(rows.filter("problem is null"), name)
         merge_ms = round((time.monotonic() - merge_start) * 1000)
         self._log(staged, name, stored, merge_ms)
+        # The staged rows are in the table now; after a failure they stay for a look.
+        place = self._place(folder)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def _quarantine(self, rows: DataFrame, resource: str) -> None:
         rows.filter("problem is not null and problem <> 'blank'").select(
