@@ -21,6 +21,9 @@ from dirlens.schema import KEY, RUN_SCHEMA
 from dirlens.session import work_folder
 from dirlens.sources.ndjson import POSITION, Delivery, parse_lines, read_lines, size_in_bytes
 
+# A list of this many keys takes some 20 MB.
+BROADCAST_KEYS = 100_000
+
 DOCUMENT_COLUMNS = ["fhir_id", "raw_json", "doc", "source_file", "ingested_at", "source_dataset"]
 
 
@@ -55,9 +58,44 @@ def latest_lines(staged: DataFrame) -> DataFrame:
     )
 
 
-def last_write_wins(staged: DataFrame) -> DataFrame:
-    """One row per key. The join includes the position, which spreads the copies of a key evenly."""
-    return staged.join(latest_lines(staged), [*KEY, *POSITION], "left_semi")
+def _sized(keys: DataFrame, n: int) -> DataFrame:
+    """Keys for a join: broadcast when their counted number is small, shuffled otherwise."""
+    return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+
+
+def last_write_wins(staged: DataFrame, latest: DataFrame, repeats: int) -> DataFrame:
+    """One row per key. ``repeats`` is the counted number of lines that are not the last of their key.
+
+    Deliveries repeat few ids, if any: then the documents are not shuffled at all. Otherwise the
+    join includes the position, which spreads the copies of a key evenly.
+    """
+    if repeats == 0:
+        return staged
+    line = [*KEY, *POSITION]
+    if repeats <= BROADCAST_KEYS:
+        replaced = staged.select(*line).join(latest, line, "left_anti")
+        return staged.join(_sized(replaced, repeats), line, "left_anti")
+    return staged.join(latest, line, "left_semi")
+
+
+def untouched(old: DataFrame, latest: DataFrame) -> DataFrame | None:
+    """The rows of ``old`` whose key is not in ``latest``; None when there are none.
+
+    Only keys are read to count them. A full redelivery then needs no old document, a pure
+    addition keeps them all, and in between the shorter list of keys decides.
+    """
+    keys = latest.select(*KEY)
+    old_keys = old.select(*KEY)
+    n_old = old_keys.count()
+    n_replaced = old_keys.join(keys, KEY, "left_semi").count()
+    n_kept = n_old - n_replaced
+    if n_kept == 0:
+        return None
+    if n_replaced == 0:
+        return old
+    if n_kept < n_replaced:
+        return old.join(_sized(old_keys.join(keys, KEY, "left_anti"), n_kept), KEY, "left_semi")
+    return old.join(_sized(old_keys.join(keys, KEY, "left_semi"), n_replaced), KEY, "left_anti")
 
 
 class Store:
@@ -172,22 +210,23 @@ class Store:
         dynamic: new files appear beside the old ones and are swapped in when all tasks are done.
         """
         path = self._path("documents", resource)
-        latest = latest_lines(rows)
+        latest = latest_lines(rows).persist()
         # One line per dataset.
         found = latest.groupBy("source_dataset").agg(
             F.count(F.lit(1)).alias("keys"), F.sum("copies").alias("lines")
         ).collect()
         stored = {r["source_dataset"]: r["keys"] for r in found}
-        # Without repeated keys the documents need not be shuffled.
-        repeated = any(r["lines"] > r["keys"] for r in found)
-        fresh = (last_write_wins(rows) if repeated else rows).select(*DOCUMENT_COLUMNS)
+        repeats = sum(r["lines"] - r["keys"] for r in found)
+        fresh = last_write_wins(rows, latest, repeats).select(*DOCUMENT_COLUMNS)
         old = self._existing(path)
         if old is not None:
-            kept = old.filter(F.col("source_dataset").isin(*stored)).join(latest.select(*KEY), KEY, "left_anti")
-            fresh = kept.select(*DOCUMENT_COLUMNS).unionByName(fresh)
+            kept = untouched(old.filter(F.col("source_dataset").isin(*stored)), latest)
+            if kept is not None:
+                fresh = kept.select(*DOCUMENT_COLUMNS).unionByName(fresh)
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "source_dataset"
         ).parquet(path)
+        latest.unpersist()
         return stored
 
     def _log(self, staged: Sequence[Staged], resource: str, stored: dict[str, int], merge_ms: int) -> None:

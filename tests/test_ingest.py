@@ -7,7 +7,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 from dirlens.sources.ndjson import Delivery, parse_lines, read_lines
-from dirlens.sources.store import RejectedLines, Store, last_write_wins
+from dirlens.sources import store as stores
+from dirlens.sources.store import RejectedLines, Store, last_write_wins, latest_lines, untouched
 from dirlens.streaming.incremental import ingest_new_files
 
 A, B = "dataset-a", "dataset-b"
@@ -90,8 +91,10 @@ def test_resources_are_not_mixed(store, tmp_path):
         store.ingest([Delivery(path, A, "endpoints"), Delivery(path, A, "locations")])
 
 
-def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path):
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path, monkeypatch, limit):
     """A third of all lines belongs to one document; the file is read in many splits."""
+    monkeypatch.setattr(stores, "BROADCAST_KEYS", limit)
     lines = [doc("hot" if i % 3 == 0 else i, i) for i in range(30000)]
     path = write(tmp_path / "a.ndjson", *lines)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -103,12 +106,25 @@ def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path):
         parse_lines(read, A).write.parquet(staged)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    kept = last_write_wins(spark.read.parquet(staged))
+    rows = spark.read.parquet(staged)
+    kept = last_write_wins(rows, latest_lines(rows), 9999)
     assert kept.count() == 20001
     (hot,) = kept.filter("fhir_id = 'hot'").select("raw_json").collect()
     assert hot.raw_json == doc("hot", 29997)
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("batch", [range(0), range(3), range(8), range(10), range(20, 22)])
+def test_untouched_rows(spark, monkeypatch, batch, limit):
+    monkeypatch.setattr(stores, "BROADCAST_KEYS", limit)
+    keys = "source_dataset string, fhir_id string"
+    old = spark.createDataFrame([(A, str(i)) for i in range(10)], keys)
+    latest = spark.createDataFrame([(A, str(i)) for i in batch] + [(B, "0")], keys)
+    kept = untouched(old, latest)
+    got = set() if kept is None else {r.fhir_id for r in kept.collect()}
+    assert got == {str(i) for i in range(10)} - {str(i) for i in batch}
+
+
 def test_features_are_written_per_dataset_and_serve_reports(store, tmp_path):
     from dirlens.plans.reports import REPORTS
 
