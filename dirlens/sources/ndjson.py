@@ -75,15 +75,15 @@ def _problem(value: Column, doc: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, dataset: str) -> DataFrame:
-    """Documents with key, lineage and position; ``problem`` names why a line is no document.
+    """Lines with key, lineage and position; ``problem`` names why a line is no document.
 
     A line that cannot be parsed, or is beyond the size a VARIANT holds, becomes a NULL document
-    and does not stop the job.
+    and does not stop the job. The parsed form is not carried on: parsing the surviving lines
+    once more costs less than writing it twice.
     """
     return lines.withColumn("doc", F.try_parse_json("value")).select(
         F.try_variant_get("doc", "$.id", "string").alias("fhir_id"),
         F.col("value").alias("raw_json"),
-        "doc",
         "source_file",
         F.current_timestamp().alias("ingested_at"),
         F.lit(dataset).alias("source_dataset"),

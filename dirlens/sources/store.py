@@ -24,6 +24,8 @@ from dirlens.sources.ndjson import POSITION, Delivery, parse_lines, read_lines,
 # A list of this many keys takes some 20 MB.
 BROADCAST_KEYS = 100_000
 
+CODEC = "zstd"
+
 DOCUMENT_COLUMNS = ["fhir_id", "raw_json", "doc", "source_file", "ingested_at", "source_dataset"]
 
 
@@ -45,17 +47,14 @@ class Staged:
     total_ms: int
 
 
-def latest_lines(staged: DataFrame) -> DataFrame:
-    """Key and position of the last line of each document.
+def key_counts(staged: DataFrame) -> DataFrame:
+    """How many lines each document has."""
+    return staged.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"))
 
-    Only key and position are aggregated, with a partial maximum per task, so that many copies
-    of one document neither travel nor meet in one group. ``copies`` is the number of lines.
-    """
-    return (
-        staged.groupBy(*KEY)
-        .agg(F.max(F.struct(*POSITION)).alias("position"), F.count(F.lit(1)).alias("copies"))
-        .select(*KEY, "position.*", "copies")
-    )
+
+def _last_positions(staged: DataFrame) -> DataFrame:
+    """The position of the last line per key, with a partial maximum per task."""
+    return staged.groupBy(*KEY).agg(F.max(F.struct(*POSITION)).alias("last"))
 
 
 def _sized(keys: DataFrame, n: int) -> DataFrame:
@@ -63,28 +62,34 @@ def _sized(keys: DataFrame, n: int) -> DataFrame:
     return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
 
 
-def last_write_wins(staged: DataFrame, latest: DataFrame, repeats: int) -> DataFrame:
-    """One row per key. ``repeats`` is the counted number of lines that are not the last of their key.
+def last_write_wins(staged: DataFrame, counts: DataFrame, n_repeated: int) -> DataFrame:
+    """One row per key, the last line. ``n_repeated`` is the counted number of keys with several lines.
 
-    Deliveries repeat few ids, if any: then the documents are not shuffled at all. Otherwise the
-    join includes the position, which spreads the copies of a key evenly.
+    Deliveries repeat few ids, if any: their last positions are broadcast and no document is
+    shuffled, however many lines one id has. Beyond that, rows meet their last position in a join
+    that includes the position, which spreads the copies of a key evenly.
     """
-    if repeats == 0:
+    if n_repeated == 0:
         return staged
-    line = [*KEY, *POSITION]
-    if repeats <= BROADCAST_KEYS:
-        replaced = staged.select(*line).join(latest, line, "left_anti")
-        return staged.join(_sized(replaced, repeats), line, "left_anti")
-    return staged.join(latest, line, "left_semi")
+    if n_repeated <= BROADCAST_KEYS:
+        repeated = F.broadcast(counts.filter("copies > 1").select(*KEY))
+        last = _last_positions(staged.select(*KEY, *POSITION).join(repeated, KEY, "left_semi"))
+        return (
+            staged.join(F.broadcast(last), KEY, "left")
+            .filter(F.col("last").isNull() | (F.col("last") == F.struct(*POSITION)))
+            .drop("last")
+        )
+    last = _last_positions(staged).select(*KEY, "last.*")
+    return staged.join(last, [*KEY, *POSITION], "left_semi")
 
 
-def untouched(old: DataFrame, latest: DataFrame) -> DataFrame | None:
-    """The rows of ``old`` whose key is not in ``latest``; None when there are none.
+def untouched(old: DataFrame, new: DataFrame) -> DataFrame | None:
+    """The rows of ``old`` whose key is not in ``new``; None when there are none.
 
     Only keys are read to count them. A full redelivery then needs no old document, a pure
     addition keeps them all, and in between the shorter list of keys decides.
     """
-    keys = latest.select(*KEY)
+    keys = new.select(*KEY)
     old_keys = old.select(*KEY)
     n_old = old_keys.count()
     n_replaced = old_keys.join(keys, KEY, "left_semi").count()
@@ -132,6 +137,12 @@ class Store:
         """Reports over the stored feature tables."""
         return Directory(self.features, self.documents, self.runs)
 
+    def _replace(self, rows: DataFrame, path: str) -> None:
+        """Overwrite the dataset partitions that occur in ``rows``, others stay."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "compression", CODEC
+        ).partitionBy("source_dataset").parquet(path)
+
     # --- ingest ----------------------------------------------------------------------------
 
     def _stage(self, delivery: Delivery, folder: str) -> Staged:
@@ -146,7 +157,7 @@ class Store:
             F.count_if(F.col("problem").isNull()).alias("records"),
             F.count_if(F.col("problem") == "blank").alias("blanks"),
             F.count_if(F.col("problem") != "blank").alias("errors"),
-        ).write.parquet(path)
+        ).write.option("compression", CODEC).parquet(path)
         end = time.monotonic()
         found = counted.get
         return Staged(
@@ -210,23 +221,21 @@ class Store:
         dynamic: new files appear beside the old ones and are swapped in when all tasks are done.
         """
         path = self._path("documents", resource)
-        latest = latest_lines(rows).persist()
+        counts = key_counts(rows).persist()
         # One line per dataset.
-        found = latest.groupBy("source_dataset").agg(
-            F.count(F.lit(1)).alias("keys"), F.sum("copies").alias("lines")
+        found = counts.groupBy("source_dataset").agg(
+            F.count(F.lit(1)).alias("keys"), F.count_if(F.col("copies") > 1).alias("repeated")
         ).collect()
         stored = {r["source_dataset"]: r["keys"] for r in found}
-        repeats = sum(r["lines"] - r["keys"] for r in found)
-        fresh = last_write_wins(rows, latest, repeats).select(*DOCUMENT_COLUMNS)
+        survivors = last_write_wins(rows, counts, sum(r["repeated"] for r in found))
+        fresh = survivors.withColumn("doc", F.parse_json("raw_json")).select(*DOCUMENT_COLUMNS)
         old = self._existing(path)
         if old is not None:
-            kept = untouched(old.filter(F.col("source_dataset").isin(*stored)), latest)
+            kept = untouched(old.filter(F.col("source_dataset").isin(*stored)), counts)
             if kept is not None:
                 fresh = kept.select(*DOCUMENT_COLUMNS).unionByName(fresh)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "source_dataset"
-        ).parquet(path)
-        latest.unpersist()
+        self._replace(fresh, path)
+        counts.unpersist()
         return stored
 
     def _log(self, staged: Sequence[Staged], resource: str, stored: dict[str, int], merge_ms: int) -> None:
@@ -256,6 +265,4 @@ class Store:
         documents = self.documents(resource)
         if datasets is not None:
             documents = documents.filter(F.col("source_dataset").isin(*datasets))
-        features(documents, resource).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("source_dataset").parquet(self._path("features", resource))
+        self._replace(features(documents, resource), self._path("features", resource))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dirlens.sources.ndjson import Delivery, parse_lines, read_lines
 from dirlens.sources import store as stores
-from dirlens.sources.store import RejectedLines, Store, last_write_wins, latest_lines, untouched
+from dirlens.sources.store import RejectedLines, Store, key_counts, last_write_wins, untouched
 from dirlens.streaming.incremental import ingest_new_files
 
 A, B = "dataset-a", "dataset-b"
@@ -107,7 +107,7 @@ def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path, monkeypatch, li
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     rows = spark.read.parquet(staged)
-    kept = last_write_wins(rows, latest_lines(rows), 9999)
+    kept = last_write_wins(rows, key_counts(rows), 1)
     assert kept.count() == 20001
     (hot,) = kept.filter("fhir_id = 'hot'").select("raw_json").collect()
     assert hot.raw_json == doc("hot", 29997)
