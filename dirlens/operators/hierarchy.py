@@ -23,18 +23,22 @@ def chain_lengths(
     A document with a parent has depth 1, one more for each further parent that itself has a
     parent, up to ``max_depth``, where cycles end too. The documents are not followed one by
     one: each level holds a count per parent still to be visited, so a level is never larger
-    than the number of distinct parents and both join sides have unique keys. Finished chains
-    stay in the frame under a NULL parent, folded to one row per dataset and depth.
+    than the number of distinct parents and both join sides have unique keys. Leaves of the
+    hierarchy, most of its documents, take part in the first level only. Finished chains stay in
+    the frame under a NULL parent, folded to one row per dataset and depth.
     """
     children = df.filter(F.col(present)).select(
         DATASET, "fhir_id", reference_id(F.col(reference), parse).alias("parent_id")
     )
-    parents = children.select(
-        DATASET, F.col("fhir_id").alias("parent_id"), F.col("parent_id").alias("next_id"), F.lit(1).alias("step")
-    )
     level = children.groupBy(DATASET, "parent_id").agg(
         F.lit(1).alias("depth"), F.count(F.lit(1)).alias("documents")
     )
+    # Only documents that are parents themselves can be visited: one pass over all, then few. The
+    # rebalancing ends that pass in an exchange, which all levels reuse.
+    parents = children.select(
+        DATASET, F.col("fhir_id").alias("parent_id"), F.col("parent_id").alias("next_id"), F.lit(1).alias("step")
+    ).join(level.select(DATASET, "parent_id"), [DATASET, "parent_id"], "left_semi")
+    parents = parents.hint("rebalance")
     for _ in range(max_depth - 1):
         level = (
             level.join(parents, [DATASET, "parent_id"], "left")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 256
 SALTS = 64
+# Share of the rows that is looked at to find frequent keys.
+LOOK = 0.01
 
 
 def exists_flag(
@@ -17,18 +19,21 @@ def exists_flag(
     flag: str,
     hot_keys: int = HOT_KEYS,
     salts: int = SALTS,
+    look: float = LOOK,
 ) -> DataFrame:
     """All rows of ``left`` with a flag: does the key occur in ``right``?
 
-    The ``hot_keys`` most frequent keys of ``left`` are found first (a pre-aggregated count and a
-    top-k, so at most that many rows exist and broadcasting them is safe). Their rows are spread
-    over ``salts`` sub-keys by ``spread_by`` and the matching rows of ``right`` are copied to each
-    sub-key; all other keys join as they are. Rows with a NULL key never match and do not travel
-    to a common partition either.
+    The ``hot_keys`` most frequent keys are picked from a share of the rows (a pre-aggregated
+    count and a top-k, so at most that many rows exist and broadcasting them is safe). Their rows
+    are spread over ``salts`` sub-keys by ``spread_by`` and the matching rows of ``right`` are
+    copied to each sub-key; all other keys join as they are. Which keys are picked decides where
+    rows travel and never what comes out: every row of ``left`` takes part in the join. Rows with
+    a NULL key never match and do not travel to a common partition either.
     """
     complete = " and ".join(f"{k} is not null" for k in on)
     hot = (
-        left.filter(complete)
+        left.sample(look, seed=1)
+        .filter(complete)
         .groupBy(*on)
         .count()
         .orderBy(F.desc("count"), *on)

@@ -742,6 +742,7 @@ EXPECTED: dict[str, str] = {
         "has_specialty",
     ),
     "availability_weekdays": _elements("role", "days", {"day_of_week": "e"}),
+    "availability_weekdays_plain": _elements("role", "days", {"day_of_week": "trim(e, '\"')"}),
     "endpoint_connection_types": _with(
         "ep",
         f"SELECT source_dataset, '{EXAMPLE}/connection' AS connection_type_system, event_type AS connection_type_code, "

@@ -104,6 +104,9 @@ SPECIFIC: dict[str, dict[str, Extractor]] = {
         "specialty_size": _size("$.specialty"),
         "first_specialty_code": _text("$.specialty[0].coding[0].code"),
         "first_specialty_display": _text("$.specialty[0].coding[0].display"),
+        "weekdays": lambda doc: flat(
+            array(doc, "$.availableTime", "struct<daysOfWeek:array<string>>").getField("daysOfWeek")
+        ),
         # Elements keep their JSON form, so a weekday reads "mon" with its quotes.
         "weekdays_json": lambda doc: F.transform(
             flat(array(doc, "$.availableTime", "struct<daysOfWeek:array<variant>>").getField("daysOfWeek")),

@@ -650,6 +650,14 @@ def availability_weekdays(d: Directory) -> DataFrame:
     )
 
 
+@report
+def availability_weekdays_plain(d: Directory) -> DataFrame:
+    """The same without the quotes of the JSON form."""
+    return counts.value_counts(
+        d["practitioner_roles"], {"day_of_week": "element"}, "weekdays", order="value"
+    )
+
+
 @report
 def endpoint_connection_types(d: Directory) -> DataFrame:
     return counts.value_counts(

@@ -40,6 +40,17 @@ RESOURCE_SCHEMA = T.StructType(
     ]
 )
 
+REJECTED_SCHEMA = T.StructType(
+    [
+        T.StructField("source_dataset", T.StringType(), False),
+        T.StructField("source_file", T.StringType(), False),
+        T.StructField("ingested_at", T.TimestampType(), True),
+        T.StructField("problem", T.StringType(), False),
+        T.StructField("n_bytes", T.LongType(), False),
+        T.StructField("raw_json", T.StringType(), False),
+    ]
+)
+
 RUN_SCHEMA = T.StructType(
     [
         T.StructField("run_at", T.TimestampType(), True),

@@ -14,10 +14,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dirlens.plans.directory import Directory
 from dirlens.plans.features import features
-from dirlens.schema import KEY, RUN_SCHEMA
+from dirlens.schema import KEY, REJECTED_SCHEMA, RESOURCE_SCHEMA, RUN_SCHEMA
 from dirlens.session import work_folder
 from dirlens.sources.ndjson import POSITION, Delivery, parse_lines, read_lines, size_in_bytes
 
@@ -104,6 +105,8 @@ def untouched(old: DataFrame, new: DataFrame) -> DataFrame | None:
 
 
 class Store:
+    """Tables below ``root``. Every table can be read from the start, empty until it is loaded."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
@@ -121,17 +124,23 @@ class Store:
         found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
         return self.spark.read.parquet(path) if found else None
 
+    def _table(self, path: str, schema: StructType) -> DataFrame:
+        """A stored table; an empty one before anything was stored."""
+        found = self._existing(path)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
     def documents(self, resource: str) -> DataFrame:
-        return self.spark.read.parquet(self._path("documents", resource))
+        return self._table(self._path("documents", resource), RESOURCE_SCHEMA)
 
     def features(self, resource: str) -> DataFrame:
-        return self.spark.read.parquet(self._path("features", resource))
+        found = self._existing(self._path("features", resource))
+        return features(self.documents(resource).limit(0), resource) if found is None else found
 
     def rejected(self, resource: str) -> DataFrame:
-        return self.spark.read.parquet(self._path("rejected", resource))
+        return self._table(self._path("rejected", resource), REJECTED_SCHEMA)
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/runs")
+        return self._table(f"{self.root}/runs", RUN_SCHEMA)
 
     def directory(self) -> Directory:
         """Reports over the stored feature tables."""

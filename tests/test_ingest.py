@@ -140,6 +140,14 @@ def test_features_are_written_per_dataset_and_serve_reports(store, tmp_path):
     assert status() == [(A, "on", 1), (A, None, 1), (B, "off", 1)]
 
 
+def test_tables_are_empty_before_the_first_load(store):
+    from dirlens.plans.reports import REPORTS
+
+    assert store.documents("locations").count() == store.runs().count() == store.rejected("locations").count() == 0
+    assert REPORTS["location_completeness"](store.directory()).collect() == []
+    assert REPORTS["record_counts"](store.directory()).collect() == []
+
+
 def test_new_files_are_picked_up_once(store, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -341,7 +341,7 @@ def test_oversize_threshold_is_strict(directory, rows):
 
 
 def test_shells_and_identifier_quality(directory, rows):
-    uuid = "44a7fe64-f5a0-412f-a3af-e6c8b13e5a06"
+    uuid = "0a1b2c3d-1111-4222-8333-0123456789ab"
     ssn = {"system": "http://hl7.org/fhir/sid/us-ssn", "value": uuid}
     d = directory(organizations=[
         (A, {"id": "1", "name": "n", "identifier": [ssn, ssn]}), (A, {"id": "2", "telecom": []}), (A, {"id": "3"}),

@@ -94,11 +94,12 @@ def hot_links(spark, n=60000):
     return spark.range(n).select(F.col("id").cast("string").alias("row"), target.alias("target"))
 
 
-def test_exists_flag_is_exact_with_hot_keys(spark):
+@pytest.mark.parametrize("look", [0.0, 0.01, 1.0])
+def test_exists_flag_is_exact_with_hot_keys(spark, look):
     links = hot_links(spark)
     targets = spark.range(0, 60000, 2).select(F.concat(F.lit("t"), F.col("id")).alias("target"))
     targets = targets.unionByName(spark.createDataFrame([("hot",), ("hot",), (None,)], "target string"))
-    flagged = exists_flag(links, targets, ["target"], "row", "found", hot_keys=4, salts=16)
+    flagged = exists_flag(links, targets, ["target"], "row", "found", hot_keys=4, salts=16, look=look)
     assert flagged.columns == ["target", "row", "found"]
     got = flagged.agg(
         F.count("*").alias("n"), F.count_if("found").alias("found"), F.count_if(F.col("found") & (F.col("target") == "hot")).alias("hot")
