@@ -70,12 +70,27 @@ def freshness(
     """Rows with a timestamp, and the earliest and latest one, per resource and dataset.
 
     Text timestamps compare lexicographically, as text; ``typed=True`` parses them, so that
-    offsets and precisions order correctly. The extremes are taken in one global aggregate
-    per table: grouping by dataset would sort all rows, since text has no fixed-width buffer.
+    offsets and precisions order correctly. For the named ``datasets`` the extremes are taken in
+    one global aggregate per table: grouping would sort all rows, since text has no fixed-width
+    aggregation buffer. Any other dataset is grouped the plain way; tables partitioned by dataset
+    have nothing to read for that.
     """
     stamp = F.try_to_timestamp(F.col(column)) if typed else F.col(column)
 
-    def one(name: str, df: DataFrame) -> DataFrame:
+    def others(name: str, df: DataFrame) -> DataFrame:
+        return (
+            df.filter(~F.col(DATASET).isin(*datasets))
+            .select(DATASET, stamp.alias("stamp"))
+            .groupBy(DATASET)
+            .agg(
+                F.count("stamp").alias("has_last_updated"),
+                F.min("stamp").alias("earliest"),
+                F.max("stamp").alias("latest"),
+            )
+            .select(F.lit(name).alias("resource_type"), "*")
+        )
+
+    def named(name: str, df: DataFrame) -> DataFrame:
         def measures(label: str) -> Column:
             mine = F.when(F.col(DATASET) == label, F.col("stamp"))
             return F.struct(
@@ -95,5 +110,5 @@ def freshness(
             .drop("records")
         )
 
-    parts = [one(name, df) for name, df in tables.items()]
+    parts = [part(name, df) for name, df in tables.items() for part in (named, others)]
     return reduce(DataFrame.unionByName, parts).orderBy("resource_type", DATASET)

@@ -138,12 +138,14 @@ def test_connection_types_keep_null_members(directory):
 def test_freshness_compares_text_or_time(table):
     stamp = lambda s: {"meta": {"lastUpdated": s}}
     t = table("organizations", (A, {"id": "1", **stamp("2024-01-01T10:00:00+05:00")}),
-              (A, {"id": "2", **stamp("2024-01-01T09:00:00Z")}), (A, {"id": "3"}))
-    (text,) = counts.freshness({"o": t}).collect()
+              (A, {"id": "2", **stamp("2024-01-01T09:00:00Z")}), (A, {"id": "3"}),
+              ("another", {"id": "4", **stamp("2023")}))
+    other, text = counts.freshness({"o": t}).collect()
+    assert tuple(other) == ("o", "another", 1, "2023", "2023")
     assert (text.has_last_updated, text.earliest, text.latest) == (
         2, "2024-01-01T09:00:00Z", "2024-01-01T10:00:00+05:00",
     )
-    (typed,) = counts.freshness({"o": t}, typed=True).collect()
+    _, typed = counts.freshness({"o": t}, typed=True).collect()
     assert (typed.earliest.hour, typed.latest.hour) == (5, 9)
 
 
