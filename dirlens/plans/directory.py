@@ -52,7 +52,8 @@ def from_documents(load: Callable[[str], DataFrame], runs: Callable[[], DataFram
 
 def from_test_tables(spark: SparkSession, sf_dir: str) -> Directory:
     """The directory derived from the star-schema test tables."""
-    return from_documents(
+    return Directory(
+        lambda resource: derived.document_features(spark, sf_dir, resource),
         lambda resource: derived.documents(spark, sf_dir, resource),
         lambda: derived.run_log(spark, sf_dir),
     )

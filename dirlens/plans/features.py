@@ -8,62 +8,99 @@ become a narrow Parquet table, so that later reports never parse a document agai
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirlens.functions.variant import CODING, array, codings, flat, node, text
 
-Extractor = Callable[[Column], Column]
+
+class Feature(NamedTuple):
+    """A column read from one top-level member of a document."""
+
+    member: str
+    extract: Callable[[Column], Column]
+
 
 IDENTIFIER = "struct<system:string,value:string>"
 REFERENCE = "struct<reference:string>"
 
 
-def _has(path: str) -> Extractor:
-    return lambda doc: node(doc, path)
+def _at(path: str, extract: Callable[[Column, str], Column]) -> Feature:
+    """A feature at a path such as ``$.member.inner`` or ``$.member[0].inner``."""
+    member = path.removeprefix("$.").split(".")[0].split("[")[0]
+    return Feature(member, lambda doc: extract(doc, path))
+
+
+def _has(path: str) -> Feature:
+    return _at(path, node)
+
+
+def _has_text(path: str) -> Feature:
+    return _at(path, lambda doc, p: text(doc, p).isNotNull())
+
+
+def _text(path: str) -> Feature:
+    return _at(path, text)
 
 
-def _has_text(path: str) -> Extractor:
-    return lambda doc: text(doc, path).isNotNull()
+def _size(path: str) -> Feature:
+    return _at(path, lambda doc, p: F.size(array(doc, p)))
 
 
-def _text(path: str) -> Extractor:
-    return lambda doc: text(doc, path)
+def _codings(path: str) -> Feature:
+    return _at(path, codings)
 
 
-def _size(path: str) -> Extractor:
-    return lambda doc: F.size(array(doc, path))
+def _array(path: str, element: str, *fields: str) -> Feature:
+    """An array of structs, or of one of their fields."""
 
+    def extract(doc: Column, p: str) -> Column:
+        found = array(doc, p, element)
+        for field in fields:
+            found = found.getField(field)
+        return found
 
-def _codings(path: str) -> Extractor:
-    return lambda doc: codings(doc, path)
+    return _at(path, extract)
 
 
-def _any_member(path: str, member: str) -> Extractor:
-    return lambda doc: F.coalesce(
-        F.exists(array(doc, path), lambda e: node(e, f"$.{member}")), F.lit(False)
+def _flat(path: str, element: str, *fields: str) -> Feature:
+    """The inner arrays of an array, as one array."""
+    nested = _array(path, element, *fields)
+    return Feature(nested.member, lambda doc: flat(nested.extract(doc)))
+
+
+def _then(feature: Feature, change: Callable[[Column], Column]) -> Feature:
+    return Feature(feature.member, lambda doc: change(feature.extract(doc)))
+
+
+def _any_member(path: str, member: str) -> Feature:
+    return _at(
+        path, lambda doc, p: F.coalesce(F.exists(array(doc, p), lambda e: node(e, f"$.{member}")), F.lit(False))
     )
 
 
-def _presence(nodes: tuple[str, ...], texts: tuple[str, ...] = ()) -> dict[str, Extractor]:
+def _presence(nodes: tuple[str, ...], texts: tuple[str, ...] = ()) -> dict[str, Feature]:
     return {f"has_{m}": _has(f"$.{m}") for m in nodes} | {f"has_{m}": _has_text(f"$.{m}") for m in texts}
 
 
-COMMON: dict[str, Extractor] = {
+COMMON: dict[str, Feature] = {
     "last_updated": _text("$.meta.lastUpdated"),
-    "profiles": lambda doc: array(doc, "$.meta.profile", "string"),
+    "profiles": _array("$.meta.profile", "string"),
     "has_identifier": _has("$.identifier"),
-    "identifiers": lambda doc: array(doc, "$.identifier", IDENTIFIER),
+    "identifiers": _array("$.identifier", IDENTIFIER),
     "identifier_json": _text("$.identifier"),
-    "identifier_elements": lambda doc: F.transform(array(doc, "$.identifier"), lambda e: F.to_json(e)),
+    "identifier_elements": _then(
+        _array("$.identifier", "variant"), lambda elements: F.transform(elements, lambda e: F.to_json(e))
+    ),
     "identifier_size": _size("$.identifier"),
     "has_extension": _has("$.extension"),
-    "extension_urls": lambda doc: array(doc, "$.extension", "struct<url:string>").getField("url"),
+    "extension_urls": _array("$.extension", "struct<url:string>", "url"),
     "extension_size": _size("$.extension"),
 }
 
-SPECIFIC: dict[str, dict[str, Extractor]] = {
+SPECIFIC: dict[str, dict[str, Feature]] = {
     "practitioners": _presence(
         nodes=("name", "qualification", "communication", "photo", "telecom", "address"),
         texts=("active", "gender"),
@@ -76,14 +113,12 @@ SPECIFIC: dict[str, dict[str, Extractor]] = {
         "has_qualification_code": _any_member("$.qualification", "code"),
         "has_qualification_issuer": _any_member("$.qualification", "issuer"),
         "has_qualification_period": _any_member("$.qualification", "period"),
-        "qualification_extension_urls": lambda doc: flat(
-            array(doc, "$.qualification", "struct<extension:array<struct<url:string>>>")
-            .getField("extension")
-        ).getField("url"),
-        "qualification_codings": lambda doc: flat(
-            array(doc, "$.qualification", f"struct<code:struct<coding:array<{CODING}>>>")
-            .getField("code")
-            .getField("coding")
+        "qualification_extension_urls": _then(
+            _flat("$.qualification", "struct<extension:array<struct<url:string>>>", "extension"),
+            lambda extensions: extensions.getField("url"),
+        ),
+        "qualification_codings": _flat(
+            "$.qualification", f"struct<code:struct<coding:array<{CODING}>>>", "code", "coding"
         ),
     },
     "practitioner_roles": _presence(
@@ -97,20 +132,18 @@ SPECIFIC: dict[str, dict[str, Extractor]] = {
         "active": _text("$.active"),
         "practitioner_ref": _text("$.practitioner.reference"),
         "organization_ref": _text("$.organization.reference"),
-        "location_refs": lambda doc: array(doc, "$.location", REFERENCE).getField("reference"),
+        "location_refs": _array("$.location", REFERENCE, "reference"),
         "location_size": _size("$.location"),
         "code_codings": _codings("$.code"),
         "specialty_codings": _codings("$.specialty"),
         "specialty_size": _size("$.specialty"),
         "first_specialty_code": _text("$.specialty[0].coding[0].code"),
         "first_specialty_display": _text("$.specialty[0].coding[0].display"),
-        "weekdays": lambda doc: flat(
-            array(doc, "$.availableTime", "struct<daysOfWeek:array<string>>").getField("daysOfWeek")
-        ),
+        "weekdays": _flat("$.availableTime", "struct<daysOfWeek:array<string>>", "daysOfWeek"),
         # Elements keep their JSON form, so a weekday reads "mon" with its quotes.
-        "weekdays_json": lambda doc: F.transform(
-            flat(array(doc, "$.availableTime", "struct<daysOfWeek:array<variant>>").getField("daysOfWeek")),
-            lambda day: F.to_json(day),
+        "weekdays_json": _then(
+            _flat("$.availableTime", "struct<daysOfWeek:array<variant>>", "daysOfWeek"),
+            lambda days: F.transform(days, lambda day: F.to_json(day)),
         ),
     },
     "organizations": _presence(
@@ -158,16 +191,26 @@ SPECIFIC: dict[str, dict[str, Extractor]] = {
 }
 
 
-def feature_names(resource: str) -> list[str]:
-    return list(COMMON | SPECIFIC[resource])
+def resource_features(resource: str) -> dict[str, Feature]:
+    return COMMON | SPECIFIC[resource]
+
+
+def members(resource: str) -> list[str]:
+    """The top-level members the features of a resource read."""
+    return list(dict.fromkeys(f.member for f in resource_features(resource).values()))
+
 
+def features(
+    documents: DataFrame, resource: str, doc_of: Callable[[str], Column] = lambda member: F.col("doc")
+) -> DataFrame:
+    """Key, byte size and one typed column per member the reports use.
 
-def features(documents: DataFrame, resource: str) -> DataFrame:
-    """Key, byte size and one typed column per member the reports use."""
-    doc = F.col("doc")
+    ``doc_of`` names the VARIANT column that holds a member: the document by default, or a part
+    of it where documents are stored in parts.
+    """
     return documents.select(
         "source_dataset",
         "fhir_id",
         F.octet_length("raw_json").cast("long").alias("json_bytes"),
-        *[extract(doc).alias(name) for name, extract in (COMMON | SPECIFIC[resource]).items()],
+        *[f.extract(doc_of(f.member)).alias(name) for name, f in resource_features(resource).items()],
     )

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlens.plans.features import features
+from dirlens.plans.features import members as feature_members
 from dirlens.schema import DATASET_A, DATASET_B, NPI_SYSTEM_A, NPI_SYSTEM_B, SPECIALTY_SYSTEM, SSN_SYSTEM
 from dirlens.sources.partitions import spread
 
@@ -53,7 +55,11 @@ def _extension(name: str) -> str:
 
 
 def _render(df: DataFrame, resource: str, kind: str, fhir_id: str, members: dict[str, str]) -> DataFrame:
-    """One JSON document per row and dataset; NULL members are left out."""
+    """One JSON document per row and dataset, whole and in parts of one member; NULL members are left out.
+
+    Nothing is computed unless it is used: a report that needs two members renders and parses
+    these two and reads their source columns only.
+    """
     datasets = F.when(F.expr(IN_DATASET_B[resource]), F.array(F.lit(DATASET_A), F.lit(DATASET_B))).otherwise(
         F.array(F.lit(DATASET_A))
     )
@@ -63,10 +69,14 @@ def _render(df: DataFrame, resource: str, kind: str, fhir_id: str, members: dict
         .withColumn("fhir_id", F.expr(fhir_id))
     )
     fields = ", ".join(f"'{name}', {rule}" for name, rule in members.items())
+    whole = f"to_json(named_struct('resourceType', '{kind}', 'id', fhir_id, {fields}))"
+    parts = {name: f"to_json(named_struct('{name}', {rule}))" for name, rule in members.items()}
+    absent = {name: "'{}'" for name in feature_members(resource) if name not in members}
     return rows.select(
         "source_dataset",
         "fhir_id",
-        F.expr(f"to_json(named_struct('resourceType', '{kind}', 'id', fhir_id, {fields}))").alias("raw_json"),
+        F.expr(whole).alias("raw_json"),
+        *[F.parse_json(F.expr(part)).alias(f"doc_{name}") for name, part in (parts | absent).items()],
     )
 
 
@@ -259,7 +269,7 @@ RENDERERS = {
 
 def raw_documents(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
     """(source_dataset, fhir_id, raw_json) of one resource."""
-    return RENDERERS[resource](spark, sf_dir)
+    return RENDERERS[resource](spark, sf_dir).select("source_dataset", "fhir_id", "raw_json")
 
 
 def documents(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
@@ -267,6 +277,11 @@ def documents(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
     return raw_documents(spark, sf_dir, resource).withColumn("doc", F.parse_json("raw_json"))
 
 
+def document_features(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
+    """The feature table of the documents, each feature from the part that holds its member."""
+    return features(RENDERERS[resource](spark, sf_dir), resource, lambda member: F.col(f"doc_{member}"))
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: one run per order priority, price band and year, sized by its orders."""
     orders = _table(spark, sf_dir, "orders").select(

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from dirlens.operators.integrity import resolve_reference_lists
 from dirlens.operators.skew import exists_flag
-from dirlens.plans.directory import Directory, from_test_tables
+from dirlens.plans.directory import Directory, from_documents, from_test_tables
+from dirlens.plans.features import features
 from dirlens.plans.reports import REPORTS
+from dirlens.schema import RESOURCES
+from dirlens.sources.derived import document_features, documents
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "PythonUDF", "BatchEvalPython", "ArrowEvalPython")
@@ -41,12 +44,25 @@ def test_no_nested_loops_and_no_python(derived, name):
 @pytest.mark.parametrize(
     "name", ["practitioner_completeness", "role_extension_census", "directory_completeness", "role_specialty_coverage"]
 )
-def test_a_document_is_parsed_once(derived, name):
-    text = plan(REPORTS[name](derived))
+def test_a_document_is_parsed_once(spark, name):
+    whole = from_documents(lambda resource: documents(spark, SF, resource))
+    text = plan(REPORTS[name](whole))
     scans = len(re.findall(r"FileScan parquet", text))
     assert text.count("parseJson") <= scans
 
 
+def test_parts_of_documents_give_the_same_features(spark):
+    for resource in RESOURCES:
+        whole = features(documents(spark, SF, resource), resource)
+        parts = document_features(spark, SF, resource)
+        assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_only_the_columns_of_the_members_in_use_are_scanned(derived):
+    columns = re.search(r"FileScan parquet \[([^\]]*)\]", plan(REPORTS["role_contact_invariant"](derived))).group(1)
+    assert {c.split("#")[0] for c in columns.split(",")} == {"o_orderkey", "o_orderstatus", "o_totalprice"}
+
+
 def test_completeness_is_one_scan_of_its_columns(stored):
     text = plan(REPORTS["practitioner_completeness_brief"](stored))
     assert text.count("FileScan parquet") == 1
