@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from dirlens.plans.loads import LOADS
+from dirlens.plans.reports import REPORTS
 from tests.oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -15,11 +17,11 @@ def duck():
     return connect(SF)
 
 
-def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+def test_every_report_and_load_has_its_sql():
+    assert set(REPORTS) | set(LOADS) <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [*REPORTS, *LOADS])
 def test_query_equals_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF), duck, SQL[name]) is None
 
