@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlens.llm import digests, secrets
 from dirlens.llm.common import table
+from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, base = F.col("spans"), [r.kind for r in secrets.RULES if r.base]
+    return secrets.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(digests.count_of(spans, kind).alias(f"n_{kind}") for kind in base),
+        digests.digest(digests.of_kinds(spans, base)).alias("base_sha256"), digests.as_text(spans).alias("spans"),
+    )
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
 }
 
 ORACLE = {
+    "op4_secret_scan": spans_sql(
+        [(r.kind, r.pattern, f"length(regexp_extract(hit, $${r.pattern}$$, {r.group})) >= {r.least}") for r in secrets.RULES],
+        [r.kind for r in secrets.RULES if r.base], "first, nth",
+    ),
     "op5_exact_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
