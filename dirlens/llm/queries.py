@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import digests, secrets
+from dirlens.llm import digests, quality, secrets
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
@@ -23,9 +23,19 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
+    "op7_quality": op7_quality,
 }
 
 ORACLE = {
