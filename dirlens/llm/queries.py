@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import digests, quality, secrets
+from dirlens.llm import decontaminate, digests, quality, secrets
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
@@ -32,10 +32,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op7_quality": op7_quality,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE = {
