@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from dirlens.llm.common import texts
 
-RATE = 0.05
+RATE = 0.07
 ITEM_CHARS = 8 << 20
 
 
