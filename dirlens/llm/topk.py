@@ -2,8 +2,8 @@
 
 The components are cut into slices; every task holds lists of partial scores, one per query and slice.
 
-1. Each task gives its best partial scores per slice. What is known of a vector, plus each unseen
-   slice's minimum, is a lower bound of its score; the k-th best bound is a safe cutoff.
+1. Each task gives its best partial scores per slice, with the whole scores of these vectors. The k-th best
+   of the whole scores is a safe cutoff.
 2. The cutoff is broadcast. A vector that reaches it must reach its share of it in some slice, so
    tasks send exactly these entries; lower and upper bounds of what arrived give a sharper cutoff.
 3. Only vectors whose upper bound reaches that cutoff have their missing partial scores looked up.
@@ -85,32 +85,32 @@ class _Chunk:
                         yield ids[i : i + rows], [_products(y[:, c], self.comps[:, c]) for c in self.cuts]
 
 
-def _best(score: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``keep`` greatest of each column, with their ids."""
+def _best(keep: int, score: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``keep`` greatest scores of each column, with what stands beside them."""
     if len(score) <= keep:
-        return score, ids
+        return score, *others
     at = np.argpartition(-score, keep - 1, axis=0)[:keep]
-    return np.take_along_axis(score, at, 0), np.take_along_axis(ids, at, 0)
+    return tuple(np.take_along_axis(x, at, 0) for x in (score, *others))
 
 
 def _local_lists(chunk: _Chunk, keep: int):
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = [None] * len(chunk.cuts)
         for ids, scores in chunk.partial(batches):
+            total = sum(scores)
             for j, s in enumerate(scores):
-                best, who = _best(s, np.broadcast_to(ids[:, None], s.shape), keep)
-                low = s.min(axis=0)
+                held, low = _best(keep, s, np.broadcast_to(ids[:, None], s.shape), total), s.min(axis=0)
                 if state[j] is not None:
-                    best, who = _best(np.vstack([state[j][0], best]), np.vstack([state[j][1], who]), keep)
-                    low = np.minimum(low, state[j][2])
-                state[j] = (best, who, low)
-        for j, held in enumerate(state):
-            if held is not None:
-                best, who, low = held
+                    held = _best(keep, *(np.vstack(x) for x in zip(state[j][0], held)))
+                    low = np.minimum(low, state[j][1])
+                state[j] = (held, low)
+        for j, kept in enumerate(state):
+            if kept is not None:
+                (best, who, total), low = kept
                 n = len(best)
                 yield pa.RecordBatch.from_pydict({
-                    "qc": np.tile(chunk.numbers, n), "slice": np.full(best.size, j, "i4"),
-                    "cls": who.reshape(-1), "score": best.reshape(-1), "low": np.tile(low, n),
+                    "qc": np.tile(chunk.numbers, n), "slice": np.full(best.size, j, "i4"), "cls": who.reshape(-1),
+                    "score": best.reshape(-1), "total": total.reshape(-1), "low": np.tile(low, n),
                 })
 
     return lists
@@ -161,19 +161,17 @@ def _search(classes: DataFrame, chunk: _Chunk, keep: int) -> DataFrame:
     spark, m = classes.sparkSession, len(chunk.cuts)
     rows = classes.select("cls", "comps")
     # 1: gather local lists; what reaches the driver has at most slices * keep rows per query of the chunk
-    lists = rows.mapInArrow(_local_lists(chunk, keep), "qc long, slice int, cls long, score long, low long")
+    lists = rows.mapInArrow(_local_lists(chunk, keep), "qc long, slice int, cls long, score long, total long, low long")
     lists = written(lists, "topk-lists")
     order = Window.partitionBy("qc", "slice").orderBy(F.desc("score"))
-    seen = lists.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep).toPandas()
+    seen = lists.select("qc", "slice", "cls", "score", "total").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep).toPandas()
     lows = lists.groupBy("qc", "slice").agg(F.min("low").alias("low")).toPandas()
     if not len(lows):
         return spark.createDataFrame([], "qc long, cls long, score long")
     low = lows.pivot(index="qc", columns="slice", values="low").reindex(chunk.numbers).to_numpy().astype("i8")
     floor = low.sum(axis=1)
-    at = pd.Series(np.arange(len(chunk.numbers)), chunk.numbers)
-    seen["over"] = seen["score"] - low[at[seen["qc"]].to_numpy(), seen["slice"].to_numpy()]
-    known = seen.groupby(["qc", "cls"], as_index=False)["over"].sum().rename(columns={"over": "bound"})
-    need = _kth(known, chunk.numbers, keep, np.zeros(len(floor), "i8"))
+    known = seen.drop_duplicates(["qc", "cls"]).rename(columns={"total": "bound"})
+    need = _kth(known, chunk.numbers, keep, floor) - floor
     # 2: the cutoff goes out, sufficient entries come back
     entries = rows.mapInArrow(_sufficient(chunk, low, need), "qc long, cls long, slice int, over long")
     cut = pd.DataFrame({"qc": chunk.numbers, "floor": floor, "most": -(-need // m) - 1})
