@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import decontaminate, digests, quality, secrets, simhash
+from dirlens.llm import decontaminate, digests, linededup, quality, secrets, simhash
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
@@ -41,12 +41,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
