@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["last"])), ",")
 
 
-def of_kinds(spans: Column, kinds: list[str]) -> Column:
-    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+def of_kinds(spans: Column, kinds: Iterable[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import decontaminate, digests, linededup, quality, secrets, simhash
+from dirlens.llm import decontaminate, digests, linededup, pii, quality, secrets, simhash
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
@@ -37,6 +37,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return pii.found(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(digests.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        digests.digest(digests.of_kinds(spans, pii.KINDS)).alias("base_sha256"), digests.as_text(spans).alias("spans"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +58,7 @@ QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
