@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import decontaminate, digests, linededup, pii, quality, secrets, simhash
+from dirlens.llm import bytebpe, decontaminate, digests, linededup, pii, quality, secrets, simhash
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.llm.topk import exact_topk
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decode = bytebpe.decoder(path)
+
+    def digest(doc_id, ids) -> dict:
+        return {
+            "doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest(),
+            "decoded_sha256": sha256(decode(ids)).hexdigest(),
+        }
+
+    blocks = bytebpe.encode(table(spark, sf_dir, "documents"), path)
+    return bytebpe.each_document(blocks, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, base = F.col("spans"), [r.kind for r in secrets.RULES if r.base]
     return secrets.find(table(spark, sf_dir, "documents")).select(
@@ -54,6 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_simhash": op6_simhash,
