@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import zlib
 from hashlib import sha256
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import bytebpe, decontaminate, digests, linededup, pii, quality, secrets, simhash
+from dirlens.llm import bytebpe, decontaminate, digests, idfile, linededup, pii, quality, secrets, simhash
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
+from dirlens.session import work_folder
 from dirlens.llm.topk import exact_topk
 
 
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = f"{work_folder(spark, 'id-files')}/ids"
+    # a part per piece of the scan, so that parts keep their size as the input grows
+    idfile.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, parts=max(1, docs.rdd.getNumPartitions()))
+
+    def digest(doc_id, start, ids) -> dict:
+        return {"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids)}
+
+    return idfile.read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", digest)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decode = bytebpe.decoder(path)
@@ -71,6 +85,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_id_files": op2_id_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
