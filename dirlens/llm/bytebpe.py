@@ -23,13 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from dirlens.llm import pretokens
 from dirlens.llm.common import texts, written
 
 #: The dictionary's most words, and the longest word (in code points) that it may hold.
@@ -39,8 +39,6 @@ _LONGEST = 40
 _COUNTED = 400_000
 #: Characters of text in a block.
 BLOCK_CHARS = 8 << 20
-#: Ends a word where the pattern is applied outside Python; a text that has it is cut in Python.
-_END = "￿"
 _BUCKETS = 1 << 16
 _SEED = 42
 
@@ -121,25 +119,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _java(pattern: str) -> str:
-    """The pattern for Spark's regular expressions, with white space as Unicode has it."""
-    return f"(?U){pattern}"
-
-
-def _cut(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, words, whole): the text with an end mark after each word; or as it is, if it has such marks itself."""
-    text = F.col("text")
-    whole = F.contains(text, F.lit(_END))
-    cut = F.regexp_replace(text, F.lit(_java(pattern)), F.lit(f"$0{_END}"))
-    return docs.select("doc_id", F.when(whole, text).otherwise(cut).alias("words"), whole.alias("whole"))
-
-
-def _words(batch: pa.RecordBatch, pattern: str) -> Iterator[list[str]]:
-    rare = regex.compile(pattern)
-    for text, whole in zip(batch.column("words"), batch.column("whole")):
-        yield rare.findall(text.as_py()) if whole.as_py() else text.as_py().split(_END)[:-1]
-
-
 def word_counts(cut: DataFrame, pattern: str) -> DataFrame:
     """(w, n): how often each word of at most ``_LONGEST`` code points occurs."""
 
@@ -152,7 +131,7 @@ def word_counts(cut: DataFrame, pattern: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["w", "n"])
 
         for batch in batches:
-            for words in _words(batch, pattern):
+            for words in pretokens.words(batch, pattern):
                 counts.update(words)
                 if len(counts) >= _COUNTED:
                     yield rows()
@@ -205,7 +184,7 @@ def _looked_up(cut: DataFrame, known, pattern: str) -> DataFrame:
         lookup = _Lookup(known.value)
         docs, parts, size = [], [], 0
         for batch in batches:
-            for doc, words in zip(batch.column("doc_id"), _words(batch, pattern)):
+            for doc, words in zip(batch.column("doc_id"), pretokens.words(batch, pattern)):
                 parts.append(b"".join(map(lookup.__getitem__, words)))
                 docs.append(doc.as_py())
                 size += len(parts[-1])
@@ -235,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     """(doc_ids, sizes, ids): blocks of documents, how many ids each has, and all ids as little-endian 32-bit integers."""
     spark = docs.sparkSession
     ranks = Ranks(spark, path)
-    cut = _cut(texts(docs, id_col, text_col), pattern)
+    cut = pretokens.cut(texts(docs, id_col, text_col), pattern)
     counts = written(word_counts(cut, pattern), "bpe-counts")
     words = frequent(counts, DICTIONARY).select("w", ranks.constant()).select("w", ranks.fold(F.col("w")).alias("ids"))
     known: dict[str, bytes] = {}

@@ -9,13 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import bytebpe, decontaminate, digests, idfile, linededup, pii, quality, secrets, simhash
+from dirlens.llm import bytebpe, decontaminate, digests, idfile, linededup, pii, quality, secrets, simhash, tokencount
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.session import work_folder
 from dirlens.llm.topk import exact_topk
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.zipf_scores(ranks))
+
+
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = f"{work_folder(spark, 'id-files')}/ids"
@@ -85,6 +90,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_id_files": op2_id_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
