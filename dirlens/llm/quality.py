@@ -225,18 +225,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(features, np.array([r["lines"] for r in kept], "i8"), np.array([r["label"] for r in kept], "i8"))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, score) of every document; with ``keep`` all columns of the input and ``_score``, which must be new."""
-    rows = docs.withColumn("_score", F.lit(0.0)) if keep else texts(docs, id_col, text_col).withColumn("score", F.lit(0.0))
-    last, column = rows.columns[-1], text_col if keep else "text"
+def _scores(model: Model, batch: pa.RecordBatch, text_col: str, kinds: np.ndarray) -> np.ndarray:
+    text = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")], ["text"])
+    return np.concatenate([np.zeros(0), *(scores(model, *line_features(block, kinds)) for _, block in _blocks(iter([text])))])
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every document."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()
         for batch in batches:
-            found = [np.zeros(0)]
-            for _, block in _blocks(iter([pa.RecordBatch.from_arrays([batch.column(column).fill_null("")], ["text"])])):
-                found.append(scores(model, *line_features(block, kinds)))
-            yield batch.set_column(batch.num_columns - 1, last, pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch, "text", kinds))], ["doc_id", "score"])
+
+    return texts(docs, id_col, text_col).mapInArrow(scored, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents with at least the threshold's score, with all their columns."""
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _kinds()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch, text_col, kinds) >= threshold))
 
-    out = rows.mapInArrow(scored, rows.schema)
-    return out if keep else out.select("doc_id", "score")
+    return docs.mapInArrow(filtered, docs.schema)
