@@ -199,7 +199,7 @@ def _decode_lanes(data: list[bytes], sizes: np.ndarray, low_bits: int) -> list[n
         model.predict(n)
         value = np.minimum((code[:n] - coder.low[:n]) // (coder.span[:n] >> coder.bits), np.uint64(top)).astype("i8")
         share = (value >> low_bits).astype("i4")
-        ids, start, size = model.first.copy(), np.zeros(n, "i8"), model.sizes[0] << low_bits
+        ids, start, size = model.first.copy(), np.zeros(n, "i8"), model.sizes[0].astype("i8") << low_bits
         coded, at = share >= model.sizes[0], model.sizes[0]
         for other, part in zip(model.others, model.sizes[1:]):
             take = coded & (share < at + part)
