@@ -36,12 +36,12 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_compare(
-    runs: DataFrame, a: str = DATASET_A, b: str = DATASET_B, latest_only: bool = False
+    runs: DataFrame, a: str = DATASET_A, b: str = DATASET_B, latest_only: bool = True
 ) -> DataFrame:
     """Runs of two datasets side by side.
 
-    Every run of ``a`` meets every run of ``b`` of the same resource, so reruns multiply the
-    lines; ``latest_only`` compares the last runs only.
+    Compares the last runs. Without ``latest_only`` every run of ``a`` meets every run of ``b`` of
+    the same resource, so reruns multiply the lines.
     """
     chosen = latest_runs(runs) if latest_only else runs
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dirlens.plans.features import features
 from dirlens.schema import RESOURCES
+from dirlens.session import work_folder
 from dirlens.sources import derived
 
+# Where the features of the test tables were written, by application, data set and resource.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
 
 class Directory:
     """Feature tables by resource name, document tables, and the run log.
@@ -50,10 +54,21 @@ def from_documents(load: Callable[[str], DataFrame], runs: Callable[[], DataFram
     return Directory(lambda resource: features(load(resource), resource), load, runs)
 
 
+def _stored_features(spark: SparkSession, sf_dir: str, resource: str) -> DataFrame:
+    """The feature table of whole documents, written once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf_dir, resource)
+    if key not in _WRITTEN:
+        path = f"{work_folder(spark, f'features-{resource}')}/table"
+        rows = features(derived.documents(spark, sf_dir, resource), resource)
+        rows.write.option("compression", "zstd").partitionBy("source_dataset").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def from_test_tables(spark: SparkSession, sf_dir: str) -> Directory:
-    """The directory derived from the star-schema test tables."""
+    """The directory derived from the star-schema test tables, with stored features."""
     return Directory(
-        lambda resource: derived.document_features(spark, sf_dir, resource),
+        lambda resource: _stored_features(spark, sf_dir, resource),
         lambda resource: derived.documents(spark, sf_dir, resource),
         lambda: derived.run_log(spark, sf_dir),
     )

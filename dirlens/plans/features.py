@@ -195,22 +195,11 @@ def resource_features(resource: str) -> dict[str, Feature]:
     return COMMON | SPECIFIC[resource]
 
 
-def members(resource: str) -> list[str]:
-    """The top-level members the features of a resource read."""
-    return list(dict.fromkeys(f.member for f in resource_features(resource).values()))
-
-
-def features(
-    documents: DataFrame, resource: str, doc_of: Callable[[str], Column] = lambda member: F.col("doc")
-) -> DataFrame:
-    """Key, byte size and one typed column per member the reports use.
-
-    ``doc_of`` names the VARIANT column that holds a member: the document by default, or a part
-    of it where documents are stored in parts.
-    """
+def features(documents: DataFrame, resource: str) -> DataFrame:
+    """Key, byte size and one typed column per member the reports use."""
     return documents.select(
         "source_dataset",
         "fhir_id",
         F.octet_length("raw_json").cast("long").alias("json_bytes"),
-        *[f.extract(doc_of(f.member)).alias(name) for name, f in resource_features(resource).items()],
+        *[f.extract(F.col("doc")).alias(name) for name, f in resource_features(resource).items()],
     )

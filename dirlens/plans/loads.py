@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirlens.operators.runs import run_totals
+from dirlens.plans.reports import REPORTS
 from dirlens.schema import DATASET_A, DATASET_B
 from dirlens.session import work_folder
 from dirlens.sources.ndjson import Delivery
@@ -51,14 +52,20 @@ def _deliver(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, list[str]
     return root, paths
 
 
-def _loaded(spark: SparkSession, sf_dir: str) -> Store:
+def _loaded(spark: SparkSession, sf_dir: str, store_features: bool = False) -> Store:
     root, paths = _deliver(spark, sf_dir)
     store = Store(spark, f"{root}/store")
     for step in range(2):
         store.ingest([Delivery(paths[ds][step], ds, RESOURCE) for ds in paths])
+        if store_features and step == 0:
+            store.write_features(RESOURCE)
     return store
 
 
+def _rejected(store: Store) -> DataFrame:
+    return store.rejected(RESOURCE).groupBy("source_dataset", "problem").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _table(store: Store) -> DataFrame:
     return store.documents(RESOURCE).select(
         "source_dataset",
@@ -89,23 +96,46 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected lines by reason."""
-    return _loaded(spark, sf_dir).rejected(RESOURCE).groupBy("source_dataset", "problem").agg(
-        F.count(F.lit(1)).alias("lines")
-    )
+    return _rejected(_loaded(spark, sf_dir))
 
 
-def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table of dataset-a from files that arrive in a folder, picked up in two runs."""
+def _arrived(spark: SparkSession, sf_dir: str) -> Store:
+    """Files of dataset-a that arrive in a folder, picked up in two runs."""
     root = work_folder(spark, "stream")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     store = Store(spark, f"{root}/store")
     for name, period in (("1", F.col("ts") < SECOND_DELIVERY), ("2", F.col("ts") >= SECOND_DELIVERY)):
         _write_lines(events.filter(period), f"{root}/arriving/{name}")
         ingest_new_files(store, f"{root}/arriving/*", DATASET_A, RESOURCE, f"{root}/checkpoint")
-    return _table(store)
+    return store
+
+
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after incremental loads."""
+    return _table(_arrived(spark, sf_dir))
+
+
+def incremental_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that incremental loads rejected, by reason."""
+    return _rejected(_arrived(spark, sf_dir))
+
+
+def incremental_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What incremental loads counted, over all files."""
+    return _arrived(spark, sf_dir).runs().groupBy("source_dataset", "resource_type", "compression").agg(
+        F.sum("record_count").alias("records"), F.sum("error_count").alias("errors"), F.sum("blank_count").alias("blanks")
+    )
+
+
+def stored_reload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over stored features, which the second load has to refresh."""
+    return REPORTS["endpoint_status"](_loaded(spark, sf_dir, store_features=True).directory())
 
 
 LOADS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ingest_upsert, ingest_run_log, ingest_totals, ingest_rejected, incremental_ingest)
+    for f in (
+        ingest_upsert, ingest_run_log, ingest_totals, ingest_rejected, incremental_ingest, incremental_rejected,
+        incremental_run_log, stored_reload_report,
+    )
 }

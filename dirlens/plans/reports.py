@@ -48,12 +48,12 @@ def run_report(d: Directory) -> DataFrame:
 
 @report
 def run_compare(d: Directory) -> DataFrame:
-    return run_reports.run_compare(d.runs)
+    return run_reports.run_compare(d.runs, latest_only=False)
 
 
 @report
 def run_compare_latest(d: Directory) -> DataFrame:
-    return run_reports.run_compare(d.runs, latest_only=True)
+    return run_reports.run_compare(d.runs)
 
 
 @report

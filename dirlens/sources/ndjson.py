@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from dirlens.schema import DATASETS, RESOURCES
 from dirlens.sources.partitions import spread
 
-# Position of a line: later files, later blocks and later lines win.
-POSITION = ["source_path", "block_start", "line_id"]
+# Position of a line: later deliveries win, then files with the greater name, later blocks and later lines.
+POSITION = ["delivery", "source_path", "block_start", "line_id"]
 
 COMPRESSIONS = {"zst": "zst", "gz": "gz", "bz2": "bz2"}
 
@@ -48,6 +48,7 @@ def with_origin(lines: DataFrame) -> DataFrame:
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.unix_micros("_metadata.file_modification_time").alias("modified"),
     )
 
 
@@ -74,9 +75,10 @@ def _problem(value: Column, doc: Column) -> Column:
     )
 
 
-def parse_lines(lines: DataFrame, dataset: str) -> DataFrame:
+def parse_lines(lines: DataFrame, dataset: str, delivery: Column) -> DataFrame:
     """Lines with key, lineage and position; ``problem`` names why a line is no document.
 
+    ``delivery`` orders deliveries: their place in a list, or the time of a file that arrived.
     A line that cannot be parsed, or is beyond the size a VARIANT holds, becomes a NULL document
     and does not stop the job. The parsed form is not carried on: parsing the surviving lines
     once more costs less than writing it twice.
@@ -87,7 +89,8 @@ def parse_lines(lines: DataFrame, dataset: str) -> DataFrame:
         "source_file",
         F.current_timestamp().alias("ingested_at"),
         F.lit(dataset).alias("source_dataset"),
-        *POSITION,
+        delivery.cast("long").alias("delivery"),
+        *POSITION[1:],
         _problem(F.col("value"), F.col("doc")).alias("problem"),
     )
 

@@ -7,6 +7,7 @@ All tables are plain Parquet below one root. Document and feature tables are par
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -34,6 +35,10 @@ class RejectedLines(ValueError):
     """Lines of a delivery are no documents and the ingest was asked not to go on."""
 
 
+class MissingFeatures(RuntimeError):
+    """Documents are stored whose features aren't."""
+
+
 @dataclass(frozen=True)
 class Staged:
     """A delivery written as parsed rows, with what was counted on the way."""
@@ -119,6 +124,19 @@ class Store:
     def _place(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
+    def _delete(self, path: str) -> None:
+        place = self._place(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def _datasets(self, path: str) -> set[str]:
+        """The datasets that a table has a partition of."""
+        place = self._place(path)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(place):
+            return set()
+        names = (found.getPath().getName() for found in files.listStatus(place))
+        return {name.split("=", 1)[1] for name in names if name.startswith("source_dataset=")}
+
     def _existing(self, path: str) -> DataFrame | None:
         place = self._place(path)
         found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
@@ -127,14 +145,24 @@ class Store:
     def _table(self, path: str, schema: StructType) -> DataFrame:
         """A stored table; an empty one before anything was stored."""
         found = self._existing(path)
-        return self.spark.createDataFrame([], schema) if found is None else found
+        return self.spark.createDataFrame([], schema) if found is None else found.select(schema.names)
 
     def documents(self, resource: str) -> DataFrame:
         return self._table(self._path("documents", resource), RESOURCE_SCHEMA)
 
     def features(self, resource: str) -> DataFrame:
+        """The feature table; projected from the documents where none was written.
+
+        A load refreshes the features of its datasets. A load that broke off before that has left
+        documents without features, for which no report should be made.
+        """
         found = self._existing(self._path("features", resource))
-        return features(self.documents(resource).limit(0), resource) if found is None else found
+        if found is None:
+            return features(self.documents(resource), resource)
+        missing = self._datasets(self._path("documents", resource)) - self._datasets(self._path("features", resource))
+        if missing:
+            raise MissingFeatures(f"{resource}: no features of {', '.join(sorted(missing))}; call write_features")
+        return found
 
     def rejected(self, resource: str) -> DataFrame:
         return self._table(self._path("rejected", resource), REJECTED_SCHEMA)
@@ -154,14 +182,14 @@ class Store:
 
     # --- ingest ----------------------------------------------------------------------------
 
-    def _stage(self, delivery: Delivery, folder: str) -> Staged:
-        """Decode and parse one delivery once, and write the rows with their positions."""
+    def _stage(self, delivery: Delivery, folder: str, place: int) -> Staged:
+        """Decode and parse one delivery, the ``place``-th of a load, and write the rows with their positions."""
         start = time.monotonic()
         size = size_in_bytes(self.spark, delivery.path)
         process_start = time.monotonic()
-        path = f"{folder}/{delivery.dataset}-{delivery.name}"
+        path = f"{folder}/{place:05d}-{delivery.dataset}"
         counted = Observation()
-        parse_lines(read_lines(self.spark, delivery.path), delivery.dataset).observe(
+        parse_lines(read_lines(self.spark, delivery.path), delivery.dataset, F.lit(place)).observe(
             counted,
             F.count_if(F.col("problem").isNull()).alias("records"),
             F.count_if(F.col("problem") == "blank").alias("blanks"),
@@ -189,7 +217,7 @@ class Store:
         """Load deliveries of one resource: stage, validate, merge, log.
 
         Deliveries are staged concurrently and merged in one write, so a failure leaves the table
-        as it was. ``on_reject='fail'`` stops before the merge when a line is no document;
+        as it was. Of the lines of one id the one of the later delivery in the list wins. ``on_reject='fail'`` stops before the merge when a line is no document;
         ``'quarantine'`` stores such lines. Blank lines are counted and skipped.
         """
         resource = {d.resource for d in deliveries}
@@ -198,22 +226,34 @@ class Store:
         (name,) = resource
         folder = work_folder(self.spark, f"stage-{name}")
         with ThreadPoolExecutor(max_workers=len(deliveries)) as pool:
-            staged = list(pool.map(lambda d: self._stage(d, folder), deliveries))
+            staged = list(pool.map(lambda d: self._stage(d[1], folder, d[0]), enumerate(deliveries)))
         failed = [s for s in staged if s.error_count]
         if failed and on_reject == "fail":
             raise RejectedLines(", ".join(f"{s.delivery.name}: {s.error_count} lines" for s in failed))
-        merge_start = time.monotonic()
-        rows = self.spark.read.parquet(*[s.path for s in staged])
-        if failed:
-            self._quarantine(rows, name)
-        stored = self.upsert(rows.filter("problem is null"), name)
-        merge_ms = round((time.monotonic() - merge_start) * 1000)
-        self._log(staged, name, stored, merge_ms)
+        self.load_staged(self.spark.read.parquet(*[s.path for s in staged]), staged, name, uuid.uuid4().hex)
         # The staged rows are in the table now; after a failure they stay for a look.
-        place = self._place(folder)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._delete(folder)
+
+    def load_staged(self, rows: DataFrame, staged: Sequence[Staged], resource: str, load_id: str) -> None:
+        """Quarantine, merge, refresh features and log; what batch and incremental loads share.
 
-    def _quarantine(self, rows: DataFrame, resource: str) -> None:
+        Rejected lines and log rows are kept under the load's id: a load that is repeated replaces its own.
+        Features that were written before are refreshed for the loaded datasets.
+        """
+        merge_start = time.monotonic()
+        if any(s.error_count for s in staged):
+            self._quarantine(rows, resource, load_id)
+        had_features = self._existing(self._path("features", resource)) is not None
+        if had_features:
+            # Until the refresh is done they are missing, which is noticed, instead of old.
+            for dataset in {s.delivery.dataset for s in staged}:
+                self._delete(f"{self._path('features', resource)}/source_dataset={dataset}")
+        stored = self.upsert(rows.filter("problem is null"), resource)
+        if had_features and stored:
+            self.write_features(resource, list(stored))
+        self._log(staged, resource, stored, round((time.monotonic() - merge_start) * 1000), load_id)
+
+    def _quarantine(self, rows: DataFrame, resource: str, load_id: str) -> None:
         rows.filter("problem is not null and problem <> 'blank'").select(
             "source_dataset",
             "source_file",
@@ -221,7 +261,7 @@ class Store:
             "problem",
             F.octet_length("raw_json").cast("long").alias("n_bytes"),
             "raw_json",
-        ).write.mode("append").parquet(self._path("rejected", resource))
+        ).write.mode("overwrite").parquet(f"{self._path('rejected', resource)}/load_id={load_id}")
 
     def upsert(self, rows: DataFrame, resource: str) -> dict[str, int]:
         """Replace or add documents by (dataset, id); returns the distinct keys per dataset.
@@ -247,8 +287,8 @@ class Store:
         counts.unpersist()
         return stored
 
-    def _log(self, staged: Sequence[Staged], resource: str, stored: dict[str, int], merge_ms: int) -> None:
-        """Append one row per delivery. The merge time is part of each delivery's total."""
+    def _log(self, staged: Sequence[Staged], resource: str, stored: dict[str, int], merge_ms: int, load_id: str) -> None:
+        """One row per delivery. The merge time is part of each delivery's total."""
         records: dict[str, int] = {}
         for s in staged:
             records[s.delivery.dataset] = records.get(s.delivery.dataset, 0) + s.record_count
@@ -265,7 +305,9 @@ class Store:
                     s.record_count / (process_ms / 1000) if process_ms else 0.0,
                 )
             )
-        self.spark.createDataFrame(lines, RUN_SCHEMA).write.mode("append").parquet(f"{self.root}/runs")
+        self.spark.createDataFrame(lines, RUN_SCHEMA).write.mode("overwrite").parquet(
+            f"{self.root}/runs/load_id={load_id}"
+        )
 
     # --- features --------------------------------------------------------------------------
 

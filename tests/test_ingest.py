@@ -103,7 +103,7 @@ def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path, monkeypatch, li
         read = read_lines(spark, path)
         assert read.rdd.getNumPartitions() > 8
         staged = str(tmp_path / "staged")
-        parse_lines(read, A).write.parquet(staged)
+        parse_lines(read, A, F.lit(0)).write.parquet(staged)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     rows = spark.read.parquet(staged)
@@ -167,5 +167,5 @@ def test_oversized_lines_do_not_stop_the_load(spark):
         F.lit("f").alias("source_file"), F.lit("p").alias("source_path"), F.lit(0).alias("block_start"),
         F.lit(0).alias("line_id"),
     )
-    parsed = parse_lines(lines, A).select("problem", F.octet_length("raw_json").alias("n")).first()
+    parsed = parse_lines(lines, A, F.lit(0)).select("problem", F.octet_length("raw_json").alias("n")).first()
     assert (parsed.problem, parsed.n > 20_000_000) == ("not a document", True)

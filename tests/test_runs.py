@@ -33,12 +33,12 @@ def test_report(runs, rows):
 
 
 def test_every_pair_of_reruns_is_compared(runs):
-    assert run_compare(runs).count() == 4
+    assert run_compare(runs, latest_only=False).count() == 4
 
 
 def test_only_the_latest_runs_are_compared(runs, rows):
     assert latest_runs(runs).count() == 2
-    (got,) = rows(run_compare(runs, latest_only=True))
+    (got,) = rows(run_compare(runs))
     assert (got["dataset_a_mb"], got["dataset_b_mb"], got["size_ratio_a_over_b"]) == (20.0, 0.0, None)
 
 
