@@ -26,7 +26,8 @@ def exists_flag(
     The ``hot_keys`` most frequent keys are picked from a share of the rows (a pre-aggregated
     count and a top-k, so at most that many rows exist and broadcasting them is safe). Their rows
     are spread over ``salts`` sub-keys by ``spread_by`` and the matching rows of ``right`` are
-    copied to each sub-key; all other keys join as they are. Which keys are picked decides where
+    copied to each sub-key; all other keys join as they are. The pick is made once, when this is called,
+    so that both sides see the same keys. Which keys are picked decides where
     rows travel and never what comes out: every row of ``left`` takes part in the join. Rows with
     a NULL key never match and do not travel to a common partition either.
     """
@@ -40,6 +41,7 @@ def exists_flag(
         .limit(hot_keys)
         .select(*on, F.lit(True).alias("is_hot"))
     )
+    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
     spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     salted_left = (
         left.join(F.broadcast(hot), on, "left")
