@@ -12,11 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Removes a query's shuffle files when it has ended; without it they stay until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a table in the shared working folder: no lineage is left, a lost executor costs nothing."""
-    path = f"{work_folder(df.sparkSession, purpose)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{work_folder(spark, purpose)}/table", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later step reads, so that a long job holds few of them at a time."""
+    for df in tables:
+        folder = df.inputFiles()[:1]
+        if folder and "/dirlens" in folder[0]:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            path = jvm.org.apache.hadoop.fs.Path(folder[0]).getParent()
+            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,3 +43,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the DataFrame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
