@@ -156,17 +156,24 @@ def _little(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-class _Lookup(dict):
-    """Words to id bytes; a word that isn't there gets a negative number and is noted."""
+class _Lookup:
+    """Words to id bytes; a word that isn't known gets a negative number and is noted. The known words aren't copied."""
 
     def __init__(self, known: dict[str, bytes]):
-        super().__init__(known)
+        self.known = known
         self.missing: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if word not in self.missing:
-            self.missing[word] = _little([-1 - len(self.missing)])
-        return self.missing[word]
+    def ids(self, words: list[str]) -> bytes:
+        found = list(map(self.known.get, words))
+        if None in found:
+            missing = self.missing
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = words[i]
+                    if word not in missing:
+                        missing[word] = _little([-1 - len(missing)])
+                    found[i] = missing[word]
+        return b"".join(found)
 
 
 def _looked_up(cut: DataFrame, known, pattern: str) -> DataFrame:
@@ -185,7 +192,7 @@ def _looked_up(cut: DataFrame, known, pattern: str) -> DataFrame:
         docs, parts, size = [], [], 0
         for batch in batches:
             for doc, words in zip(batch.column("doc_id"), pretokens.words(batch, pattern)):
-                parts.append(b"".join(map(lookup.__getitem__, words)))
+                parts.append(lookup.ids(words))
                 docs.append(doc.as_py())
                 size += len(parts[-1])
                 if size >= BLOCK_CHARS:

@@ -162,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of the edges (a, b), by alternating large and small stars."""
     a, b = F.col("a"), F.col("b")
     mark = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), "stars")
         large = both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b"))
@@ -175,6 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == mark:
             return edges.select(a.alias("node"), b.alias("root"))
         mark = tuple(now)
+    return edges.select(a.alias("node"), b.alias("root"))
 
 
 def _distance(x: str, y: str) -> Column:
