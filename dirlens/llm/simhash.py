@@ -128,7 +128,7 @@ def correlated_parts(total: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 def allocate(total: int, share: np.ndarray, parts: list[list[int]], most: int) -> tuple[float, list[int]]:
     """Thresholds with sum(t + 1) = most + 1 and the least estimated cost; -1 leaves a part out."""
-    costs = []
+    total, costs = max(total, 1), []
     for part in parts:
         near = np.array([1.0])
         for b in part:
