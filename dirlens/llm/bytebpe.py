@@ -33,12 +33,12 @@ from dirlens.llm import pretokens
 from dirlens.llm.common import texts, written
 
 #: The dictionary's most words, and the longest word (in code points) that it may hold.
-DICTIONARY = 600_000
+DICTIONARY = 500_000
 _LONGEST = 40
 #: Words that a task counts before it sends their counts on.
 _COUNTED = 400_000
-#: Characters of text in a block.
-BLOCK_CHARS = 8 << 20
+#: Bytes of ids in a block.
+BLOCK_CHARS = 2 << 20
 _BUCKETS = 1 << 16
 _SEED = 42
 
@@ -218,7 +218,10 @@ def filled(ids: np.ndarray, missing: list[np.ndarray]) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_ids, sizes, ids): blocks of documents, how many ids each has, and all ids as little-endian 32-bit integers."""
+    """(doc_ids, sizes, ids, missing): blocks of documents for ``each_document``.
+
+    ``ids`` has little-endian 32-bit integers, ``sizes`` of them for each document; -1 - i stands for the ids of missing[i].
+    """
     spark = docs.sparkSession
     ranks = Ranks(spark, path)
     cut = pretokens.cut(texts(docs, id_col, text_col), pattern)
@@ -231,37 +234,25 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     folded = blocks.select("doc_ids", "sizes", "ids", "missing", ranks.constant()).select(
         "doc_ids", "sizes", "ids", F.transform("missing", ranks.fold).alias("missing")
     )
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                lists = batch.column("missing")[row].values
-                flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-                missing = [flat[a:b] for a, b in zip(ends, ends[1:])]
-                ids = np.frombuffer(batch.column("ids")[row].as_buffer(), "<i4")
-                cuts = np.cumsum([0, *batch.column("sizes")[row].as_py()])
-                parts = [filled(ids[a:b], missing) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_ids").slice(row, 1), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(parts).astype("<i4").tobytes()], pa.binary()),
-                ], ["doc_ids", "sizes", "ids"])
-
-    return folded.mapInArrow(fill, "doc_ids array<long>, sizes array<long>, ids binary")
+    return folded
 
 
 def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
     """A row per document of the blocks: ``row(doc_id, ids)`` gives its values in the order of the schema."""
+    pa_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
+                lists = batch.column("missing")[n].values
+                flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+                missing = [flat[a:b] for a, b in zip(ends, ends[1:])]
                 ids = np.frombuffer(batch.column("ids")[n].as_buffer(), "<i4")
                 cuts = np.cumsum([0, *batch.column("sizes")[n].as_py()])
                 docs = batch.column("doc_ids")[n].as_py()
-                out = [row(doc, ids[a:b]) for doc, a, b in zip(docs, cuts, cuts[1:])]
+                out = [row(doc, filled(ids[a:b], missing)) for doc, a, b in zip(docs, cuts, cuts[1:])]
                 yield pa.RecordBatch.from_pylist(out, pa_schema)
 
-    pa_schema = to_arrow_schema(StructType.fromDDL(schema))
     return blocks.mapInArrow(rows, schema)
 
 
