@@ -1,7 +1,7 @@
 """Personal data in texts, and the words beside it that reveal it.
 
 Four kinds of protected entities are found by pattern: e-mail addresses, IP addresses, payment cards and phone
-numbers. Words near them may disclose as much as the entities do. How much a word t tells about an
+numbers. Words of the same documents may disclose as much as the entities do. How much a word t tells about an
 entity c is estimated from the corpus: with document frequencies df and N documents,
 
     PMI(c; t) = log(joint(c, t) N / (df(c) df(t)))        IC(c) = log(N / df(c))
@@ -10,9 +10,14 @@ and t discloses the share PMI / IC of the information in c. Words that reach ``T
 own; those that disclose everything are removed from a text, the others are generalised. All of it is DataFrame
 expressions; frequencies are counted over all documents, and only documents with entities carry their text further.
 
+With ``window=None`` joint(c, t) counts whole documents, as df does, and every occurrence of a disclosing word in a
+document with the entity gets a span. As joint is at most df(c), no word with df(t) over df(c)^threshold N^(1-threshold)
+can reach the threshold; such pairs are dropped before anything is shuffled. With a window, joint counts documents
+with t within so many code points of c, and only these occurrences get spans: less than the whole method.
+
 Defined results: a null text is empty; a null id stays null; repeated rows are documents of their own and count as such;
 offsets count code points, the end is exclusive; an entity that every document has discloses nothing;
-a word that overlaps an entity is no term; without documents there are no rows.
+a word that overlaps an entity gets no span; without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +29,11 @@ from dirlens.llm.common import texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Code points on either side of an entity in which words are looked at.
+#: Code points on either side of an entity in which words are looked at, if asked for.
 WINDOW = 80
 THRESHOLD = 0.9
+#: At most so many frequent words, and as many frequent entities, are broadcast to drop pairs early.
+FREQUENT = 1 << 16
 
 # The patterns asked for. Quantifiers are possessive where no other cut can match, and a match starts at
 # the start of a run: this finds the same, reads long runs once and needs no stack for long repetitions.
@@ -36,6 +43,8 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _WORD = r"[\p{L}\p{N}]+"
+#: Pieces of a text that no word crosses.
+_CHUNK = r"(?s).{1,1024}+[\p{L}\p{N}]*+"
 
 _SPAN = "struct<kind:string,first:bigint,last:bigint,hit:string>"
 
@@ -109,10 +118,61 @@ def _nearby(found: DataFrame, window: int) -> DataFrame:
     return words.filter((F.col("first") >= F.col("left")) & (F.col("last") <= F.col("right")) & clear).drop("spans", "left", "right")
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+def _words(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), lambda w: F.lower(w)))
+
+
+def _places(found: DataFrame, passed: DataFrame) -> DataFrame:
+    """(uid, term, first, last): the words of whole texts that are clear of all entities, without the terms of ``passed``."""
+    none = F.array().cast("array<struct<start:bigint,chunk:string>>")
+
+    def add(acc: Column, chunk: Column) -> Column:
+        cut = F.array_append(acc["cut"], F.struct(acc["at"].alias("start"), chunk.alias("chunk")))
+        return F.struct((acc["at"] + F.length(chunk)).alias("at"), cut.cast("array<struct<start:bigint,chunk:string>>").alias("cut"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("cut"))
+    chunks = F.aggregate(F.regexp_extract_all(F.col("text"), F.lit(_CHUNK), F.lit(0)), zero, add, lambda acc: acc["cut"])
+    words = found.select("uid", "spans", F.explode(chunks).alias("c")).select(
+        "uid", "spans", "c.start", F.explode(_placed(F.col("c.chunk"), _WORD, TERM)).alias("w")
+    ).select("uid", "spans", F.lower("w.hit").alias("term"), (F.col("w.first") + F.col("start")).alias("first"), (F.col("w.last") + F.col("start")).alias("last"))
+    words = words.join(F.broadcast(passed.select("term")), "term", "left_anti")
+    clear = ~F.exists("spans", lambda s: (s["first"] < F.col("last")) & (F.col("first") < s["last"]))
+    return words.filter(clear).select("uid", "term", "first", "last")
+
+
+def _sum(df: DataFrame, column: str) -> int:
+    return df.agg(F.sum(column)).first()[0] or 0
+
+
+def _met(found: DataFrame, holders: DataFrame, counts: DataFrame, total: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(uid, entity, term) of whole documents, without pairs too frequent to reach the threshold; and terms that reach it with no entity.
+
+    What is dropped is decided by exact counts of the frequent words and entities; those not broadcast are taken as rare
+    and stay, so nothing is lost, and the threshold itself is applied to what is left.
+    """
+
+    def limit(df_c: Column) -> Column:
+        # a little more, against rounding
+        return F.pow(df_c.cast("double"), F.lit(threshold)) * float(total) ** (1 - threshold) * (1 + 1e-9)
+
+    # more than the share 1 / FREQUENT of all: fewer than FREQUENT rows
+    words = counts.filter((F.col("df_t") > _sum(counts, "df_t") / FREQUENT) & (F.col("df_t") > limit(F.lit(1))))
+    least = max(_sum(holders, "df_c") / FREQUENT, 1.0)
+    known = holders.filter(F.col("df_c") > least)
+    pairs = found.select("uid", F.array_distinct(F.transform("spans", _entity)).alias("entities"), _words(F.col("text")).alias("terms"))
+    pairs = pairs.select("uid", "terms", F.explode("entities").alias("entity")).join(F.broadcast(known), "entity", "left")
+    pairs = pairs.select("uid", "entity", limit(F.coalesce("df_c", F.lit(least))).alias("limit"), F.explode("terms").alias("term"))
+    pairs = pairs.join(F.broadcast(words), "term", "left").filter(F.col("df_t").isNull() | (F.col("df_t") <= F.col("limit")))
+    most = holders.filter(F.col("df_c") < total).agg(F.max("df_c")).first()[0] or 1
+    return written(pairs.select("uid", "entity", "term"), "pii-met"), words.filter(F.col("df_t") > limit(F.lit(most)))
+
+
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text, spans): entities and disclosing terms of every document, by kind as listed, then start.
 
     ``text`` is null where there are no spans. A term's ``hit`` says what becomes of it: removed or generalised.
+    Without a ``window`` whole documents count; the query asks for that.
     """
     rows = texts(docs, id_col, text_col)
     base = rows.select("doc_id", "text", entities(F.col("text")).alias("spans"))
@@ -120,20 +180,28 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         base.select("doc_id", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans").withColumn("uid", F.monotonically_increasing_id()), "pii-base"
     )
     with_any = base.filter(F.size("spans") > 0)
-    near = written(_nearby(with_any, window).distinct(), "pii-near")
     total = base.count()
     holders = with_any.select("uid", F.explode("spans").alias("s")).select("uid", _entity(F.col("s")).alias("entity")).distinct()
-    holders = holders.groupBy("entity").agg(F.count("*").alias("df_c"))
-    held = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    wanted = held.select("term").distinct()
-    vocabulary = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    holders = written(holders.groupBy("entity").agg(F.count("*").alias("df_c")), "pii-holders")
+    near = None if window is None else written(_nearby(with_any, window).distinct(), "pii-near")
+    wanted = (with_any.select(F.explode(_words(F.col("text"))).alias("term")) if near is None else near.select("term")).distinct()
+    vocabulary = rows.select(F.explode(_words(F.col("text"))).alias("term"))
     counts = written(vocabulary.groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi"), "pii-words")
+    if near is None:
+        met, passed = _met(with_any, holders, counts, total, threshold)
+    else:
+        met = near.select("uid", "entity", "term").distinct()
+    held = met.groupBy("entity", "term").agg(F.count("*").alias("joint"))
     n = F.lit(float(total))
     told = F.col("joint") * n / (F.col("df_c") * F.col("df_t"))
     all_of_it = n / F.col("df_c")
     pairs = held.join(holders, "entity").join(counts, "term").filter((all_of_it > 1) & (told >= F.pow(all_of_it, F.lit(threshold))))
     pairs = written(pairs.select("entity", "term", F.when(told >= all_of_it, "removed").otherwise("generalised").alias("fate")), "pii-pairs")
-    terms = near.join(pairs, ["entity", "term"]).groupBy("uid", "first", "last").agg(F.max("fate").alias("hit"))
+    if near is None:
+        fates = met.join(pairs, ["entity", "term"]).groupBy("uid", "term").agg(F.max("fate").alias("hit"))
+        terms = _places(with_any, passed).join(fates, ["uid", "term"]).select("uid", "first", "last", "hit")
+    else:
+        terms = near.join(pairs, ["entity", "term"]).groupBy("uid", "first", "last").agg(F.max("fate").alias("hit"))
     terms = terms.groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "first", "last", "hit"))).cast(f"array<{_SPAN}>").alias("terms")
     )

@@ -60,3 +60,42 @@ def test_sanitised_text(spark):
 
 def test_no_documents(none):
     assert found(none).collect() == []
+
+
+def disclosed(rows, threshold=0.9):
+    """Per document, (first, last, fate) of the disclosing words, by counting whole documents."""
+    ents = [plain(t) for _, t in rows]
+    names = [{f"{k}:{digits(t[a:b]) if k in ('card', 'phone') else t[a:b].lower()}" for k, a, b in e} for (_, t), e in zip(rows, ents)]
+    words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", t)] for _, t in rows]
+    bags, n = [{w for w, _, _ in ws} for ws in words], len(rows)
+    df = lambda sets, x: sum(x in s for s in sets)
+
+    def fate(c, t):
+        df_c, joint = df(names, c), sum(c in e and t in b for e, b in zip(names, bags))
+        told = joint * n / (df_c * df(bags, t))
+        return "" if df_c == n or told < (n / df_c) ** threshold else "removed" if told >= n / df_c else "generalised"
+
+    clear = lambda e, a, b: not any(x < b and a < y for _, x, y in e)
+    return {
+        i: sorted((a, b, f) for w, a, b in ws if clear(e, a, b) and (f := max(fate(c, w) for c in cs))) if cs else []
+        for (i, _), e, cs, ws in zip(rows, ents, names, words)
+    }
+
+
+def test_query_counts_and_marks_whole_documents(spark, tmp_path, monkeypatch):
+    from dirlens.llm import pii, queries
+
+    far = " filler" * 400
+    rows = [(i, f"Zebra{far if i > 2 else ''} note {'' if i % 3 else 'ann '}write ann@x.org from +1 017 555-771{i % 2}3 the zebra") for i in range(9)]
+    rows += [(10, "Mia mia@x.org" + far + " mia Quagga"), (11, "quagga" + far + " é𝒳 mia mia@x.org"), (12, "quagga the from")]
+    rows += [(100 + i, f"the other{' filler' if i % 2 else ''} note about nothing number{i % 7}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = disclosed(rows)
+    assert {f for spans in expected.values() for *_, f in spans} == {"removed", "generalised"}
+    for frequent in (1 << 16, 8):
+        monkeypatch.setattr(pii, "FREQUENT", frequent)
+        got = found(spark.read.parquet(f"{tmp_path}/documents.parquet"), window=None).collect()
+        assert {r.doc_id: [(s.first, s.last, s.hit) for s in r.spans if s.kind == "term"] for r in got} == expected
+    # in the header, far from the entity: the word has a span in the query's rows
+    spans = {r.doc_id: r.spans for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert all("term:0:5" in spans[i] for i in range(9)), spans[8]
