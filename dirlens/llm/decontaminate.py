@@ -7,8 +7,9 @@ the hits, Myers' algorithm computes the edit distance of the item to the best st
 Every text is scanned once, whole, for each ``ITEM_CHARS`` of benchmark text; only such a portion of items is
 sent to the tasks at a time. Nothing is shuffled.
 
-Defined results: letters compare without case where lower-casing keeps the length; a null or blank item and
-a null text match nothing; a null id stays null; repeated rows are reported each; of several occurrences of an
+Defined results: letters compare without case where lower-casing keeps the length; a null item, one of
+white space only and a null text match nothing; a null id of a document stays null; an item without an id is not reported
+by ``matches``, whose rows name an item, and counts in ``without_matches``; repeated rows are reported each; of several occurrences of an
 item in a text the one with the least distance, then the first, is reported; several texts under one item id
 are reported as the best of them (if one portion holds them all; items beyond one portion give one row for each).
 """
@@ -26,6 +27,8 @@ from dirlens.llm.common import texts
 
 RATE = 0.07
 ITEM_CHARS = 8 << 20
+# A character that is white space neither for Java nor for Python.
+_NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def folded(text: str) -> str:
@@ -129,9 +132,11 @@ class Matcher:
         yield low, high
 
 
-def portions(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of at most about ``ITEM_CHARS``; one list is on the driver at a time."""
-    rows = texts(items, id_col, text_col).filter(F.col("doc_id").isNotNull() & (F.trim("text") != "")).dropDuplicates()
+def portions(items: DataFrame, id_col: str, text_col: str, named: bool = True) -> Iterator[list[tuple[int | None, str]]]:
+    """The items, or those that have an id, in lists of at most about ``ITEM_CHARS``; one list is on the driver at a time."""
+    rows = texts(items, id_col, text_col).filter(F.col("text").rlike(_NOT_BLANK)).dropDuplicates()
+    if named:
+        rows = rows.filter(F.col("doc_id").isNotNull())
     held, size = [], 0
     for row in rows.toLocalIterator():
         held.append((row["doc_id"], row["text"]))
@@ -170,7 +175,7 @@ def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, text_
                     item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no item occurs, with all their columns."""
     place = docs.columns.index(text_col)
-    for portion in portions(items, item_id_col, item_text_col):
+    for portion in portions(items, item_id_col, item_text_col, named=False):
 
         def clean(batches: Iterator[pa.RecordBatch], portion=portion) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(portion, rate)

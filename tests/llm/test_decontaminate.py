@@ -80,3 +80,11 @@ def test_portions_give_the_same(spark, docs, monkeypatch):
 
 def test_folding_keeps_places():
     assert folded("İstanbul É") == "İstanbul é"
+
+
+def test_items_without_id_or_letters(spark, docs):
+    passage = "a passage of its own kind that nobody else has written down"
+    items = spark.createDataFrame([(None, passage), (1, "\n"), (2, "\t \u2003"), (3, "\x1c"), (4, "")], "item_id long, text string")
+    table = docs((1, f"before {passage} after"), (2, "two\nlines\tand \u2003 \x1c more"), (3, None))
+    assert sorted(r.doc_id for r in without_matches(table, items).collect()) == [2, 3]
+    assert matches(table, items).collect() == []
