@@ -7,6 +7,9 @@ the hits, Myers' algorithm computes the edit distance of the item to the best st
 Every text is scanned once, whole, for each ``ITEM_CHARS`` of benchmark text; only such a portion of items is
 sent to the tasks at a time. Nothing is shuffled.
 
+White space compares as spaces, and texts with runs of it are read a second time with each run as one space, so
+that another layout takes nothing from the budget; so are items with runs. Places are those of the text as it stands.
+
 Defined results: letters compare without case where lower-casing keeps the length; a null item, one of
 white space only and a null text match nothing; a null id of a document stays null; an item without an id is not reported
 by ``matches``, whose rows name an item, and counts in ``without_matches``; repeated rows are reported each; of several occurrences of an
@@ -16,6 +19,8 @@ are reported as the best of them (if one portion holds them all; items beyond on
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,6 +32,7 @@ from dirlens.llm.common import texts
 
 RATE = 0.07
 ITEM_CHARS = 8 << 20
+_SPACE, _RUN = re.compile(r"\s"), re.compile(" {2,}")
 # A character that is white space neither for Java nor for Python.
 _NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
@@ -37,6 +43,21 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def layouts(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """The text with white space as spaces; then, if it has runs, with each run as one space.
+
+    With it the places of the runs and how much longer the text is after each.
+    """
+    even = _SPACE.sub(" ", text)
+    yield even, [], [0]
+    if "  " in even:
+        places, longer = [], [0]
+        for m in _RUN.finditer(even):
+            places.append(m.start() - longer[-1])
+            longer.append(longer[-1] + m.end() - m.start() - 1)
+        yield _RUN.sub(" ", even), places, longer
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """``budget + 1`` pieces of nearly equal length with their places."""
     cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
@@ -91,7 +112,7 @@ class Matcher:
     """Finds a portion of items, (id, text), in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(key, folded(text)) for key, text in items]
+        self.items = list(dict.fromkeys((key, layout) for key, text in items for layout, _, _ in layouts(folded(text))))
         self.budgets = [int(len(text) * rate) for _, text in self.items]
         self.automaton = ahocorasick.Automaton()
         for n, (_, text) in enumerate(self.items):
@@ -103,19 +124,23 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end), the best per item id."""
-        text = folded(text)
+        best: dict[int, tuple[int, int, int]] = {}
+        for layout, places, longer in layouts(folded(text)):
+            for key, distance, start, end in self._find(layout):
+                start, end = (at + longer[bisect_left(places, at)] for at in (start, end))
+                best[key] = min(best.get(key, (distance, start, end)), (distance, start, end))
+        return [(key, *found) for key, found in best.items()]
+
+    def _find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         starts: dict[int, list[int]] = {}
         for end, hits in self.automaton.iter(text):
             for n, at in hits:
                 starts.setdefault(n, []).append(end - at)
-        best: dict[int, tuple[int, int, int]] = {}
         for n, near in starts.items():
             key, item = self.items[n]
             for low, high in self._windows(near, n, len(text)):
                 if found := best_stretch(item, text[low:high], self.budgets[n]):
-                    placed = (found[0], low + found[1], low + found[2])
-                    best[key] = min(best.get(key, placed), placed)
-        return [(key, *found) for key, found in best.items()]
+                    yield key, found[0], low + found[1], low + found[2]
 
     def _windows(self, near: list[int], n: int, size: int) -> Iterator[tuple[int, int]]:
         """Stretches of text around the places where hits put the item's start, overlapping ones joined."""

@@ -88,3 +88,16 @@ def test_items_without_id_or_letters(spark, docs):
     table = docs((1, f"before {passage} after"), (2, "two\nlines\tand \u2003 \x1c more"), (3, None))
     assert sorted(r.doc_id for r in without_matches(table, items).collect()) == [2, 3]
     assert matches(table, items).collect() == []
+
+
+def test_layout_takes_no_edits(spark, docs):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(34)]
+    item, lines = " ".join(words), [" ".join(words[i : i + 6]) for i in range(0, 34, 6)]
+    spread, quoted = "  ".join(words), "\n\t    ".join(lines)
+    rows = [(1, f"so:  {spread}  end"), (2, f"{quoted}\n"), (3, item), (4, f"{' '.join(words[:20])}  other words")]
+    found = {tuple(r) for given in (item, spread) for r in matches(docs(*rows), spark.createDataFrame([(7, given)], "item_id long, text string")).collect()}
+    assert found == {(1, 7, 0, 5, 5 + len(spread)), (2, 7, 0, 0, len(quoted)), (3, 7, 0, 0, len(item))}
+    # an edit in the middle of a run costs no more than it did
+    matcher = decontaminate.Matcher([(1, "ab   cd" + "x" * 8)], 0.07)
+    assert matcher.find("ab # cd" + "x" * 8) == [(1, 1, 0, 15)]
