@@ -244,13 +244,15 @@ class Store:
         if any(s.error_count for s in staged):
             self._quarantine(rows, resource, load_id)
         had_features = self._existing(self._path("features", resource)) is not None
+        datasets = sorted({s.delivery.dataset for s in staged})
         if had_features:
             # Until the refresh is done they are missing, which is noticed, instead of old.
-            for dataset in {s.delivery.dataset for s in staged}:
+            for dataset in datasets:
                 self._delete(f"{self._path('features', resource)}/source_dataset={dataset}")
         stored = self.upsert(rows.filter("problem is null"), resource)
-        if had_features and stored:
-            self.write_features(resource, list(stored))
+        if had_features:
+            # Also of datasets without an accepted line, whose documents stay.
+            self.write_features(resource, datasets)
         self._log(staged, resource, stored, round((time.monotonic() - merge_start) * 1000), load_id)
 
     def _quarantine(self, rows: DataFrame, resource: str, load_id: str) -> None:

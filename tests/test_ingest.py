@@ -169,3 +169,13 @@ def test_oversized_lines_do_not_stop_the_load(spark):
     )
     parsed = parse_lines(lines, A, F.lit(0)).select("problem", F.octet_length("raw_json").alias("n")).first()
     assert (parsed.problem, parsed.n > 20_000_000) == ("not a document", True)
+
+
+def test_a_delivery_without_accepted_lines_keeps_features(store, tmp_path):
+    store.ingest([Delivery(write(tmp_path / f"{d}.ndjson", doc(1, "x")), d, "endpoints") for d in (A, B)])
+    store.write_features("endpoints")
+    before = sorted(map(str, store.features("endpoints").collect()))
+    store.ingest([Delivery(write(tmp_path / "bad.ndjson", "{bad", ""), A, "endpoints")])
+    assert sorted(map(str, store.features("endpoints").collect())) == before and len(before) == 2
+    store.ingest([Delivery(write(tmp_path / "c.ndjson", doc(2, "y")), A, "endpoints"), Delivery(write(tmp_path / "d.ndjson", ""), B, "endpoints")])
+    assert store.features("endpoints").count() == 3
