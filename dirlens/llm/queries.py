@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import bytebpe, decontaminate, digests, idfile, linededup, pii, quality, secrets, simhash, tokencount
+from dirlens.llm import bytebpe, decontaminate, digests, idfile, licenses, linededup, pii, quality, secrets, simhash, tokencount
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.session import work_folder
@@ -89,6 +89,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_id_files": op2_id_files,
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLE = {
