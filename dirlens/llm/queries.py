@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import bytebpe, decontaminate, digests, idfile, licenses, linededup, pii, quality, secrets, simhash, tokencount
+from dirlens.llm import align, bytebpe, decontaminate, digests, idfile, licenses, linededup, pii, quality, secrets, simhash, tokencount
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.session import work_folder
@@ -93,6 +93,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return align.alignment(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_id_files": op2_id_files,
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_license_scan": op11_license_scan,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {
