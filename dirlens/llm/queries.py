@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlens.llm import align, bytebpe, decontaminate, digests, idfile, licenses, linededup, pii, quality, secrets, simhash, tokencount
+from dirlens.llm import align, bytebpe, decontaminate, digests, idfile, licenses, linededup, negatives, pii, quality, secrets, simhash, tokencount
 from dirlens.llm.common import table
 from dirlens.llm.span_sql import spans_sql
 from dirlens.session import work_folder
@@ -93,6 +93,12 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    label = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mined(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label_col=label)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return align.alignment(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -130,4 +137,25 @@ ORACLE = {
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT a.vec_id AS anchor_id, a.label, a.c, x.vec_id AS positive_id, list_inner_product(a.c, x.c)::BIGINT AS positive_score
+            FROM v a JOIN v x ON a.label = x.label AND a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0
+            QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY positive_score DESC, x.vec_id) <= 5
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, x.vec_id AS negative_id, list_inner_product(a.c, x.c)::BIGINT AS negative_score
+            FROM v a JOIN v x ON a.label <> x.label WHERE a.vec_id % 50 = 0
+        )
+        SELECT anchor_id, positive_id,
+            (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INTEGER AS rank,
+            negative_id, positive_score, negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE 50 * positive_score <= 100 * negative_score AND 100 * negative_score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
 }
