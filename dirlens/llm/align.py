@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,12 @@ PIECE = 1 << 16
 RANGE = 1 << 14
 #: Ranges that are composed at a time.
 FAN = 8
-#: Words whose fragments a Python worker keeps.
-CACHED = 300_000
+#: A Python worker keeps the fragments of twice as many words.
+CACHED = 130_000
 #: Id pairs whose counts are sent to all tasks.
 FREQUENT = 1 << 20
+#: New words that are tokenized at a time.
+_JOINED = 256
 #: Links whose pairs a task counts at a time.
 _COUNTED = 1 << 22
 
@@ -92,8 +95,8 @@ class Pair:
         n_a, n_b = self.n_a, self.n_b = len(self.bytes_a), len(self.bytes_b)
         #: A link is one number: a * n_b + b.
         self.code = "<u4" if n_a * n_b < 1 << 32 else "<u8"
-        # tokens within a group, and a group's last one, of either tokenizer
-        self.written = [b"%d%s" % (i, mark) for n, marks in ((n_a, b",|"), (n_b, b",;")) for mark in (marks[:1], marks[1:]) for i in range(n)]
+        # tokens within a group, and a group's last one, of either tokenizer; the marks tell them apart until the digest
+        self.written = [b"%d%s" % (i, mark) for n, marks in ((n_a, b".|"), (n_b, b",;")) for mark in (marks[:1], marks[1:]) for i in range(n)]
 
     def encode(self, spans: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each span."""
@@ -105,10 +108,22 @@ class Pair:
         raw = (" " + span).encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
+    def spelled(self, spans: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """The numbers of the spans that both spell, found at once where it is all of them."""
+        raw = [(" " + s).encode() for s in spans]
+        sizes, all_raw = np.array(list(map(len, raw))), b"".join(raw)
+        for ids, spelling, lengths in ((a, self.bytes_a, self.lengths_a), (b, self.bytes_b, self.lengths_b)):
+            flat = list(chain.from_iterable(ids))
+            n = np.array(list(map(len, ids)))
+            ends = np.concatenate([[0], np.cumsum(lengths[np.array(flat, "i8")])])[np.cumsum(n)]
+            if not np.array_equal(ends, np.cumsum(sizes)) or b"".join(map(spelling.__getitem__, flat)) != all_raw:
+                return [i for i, s in enumerate(spans) if self.spells(s, a[i], b[i])]
+        return list(range(len(spans)))
+
 
 @dataclass
 class Fragment:
-    """The alignment of a byte range. Ids are decimal, each with its mark: a comma in the open parts."""
+    """The alignment of a byte range. Ids are decimal, each with its mark: a dot or a comma by tokenizer, or the end of a group."""
 
     n_a: int = 0
     n_b: int = 0
@@ -124,7 +139,7 @@ class Fragment:
 def group(pair_code: tuple[int, str], a: bytes, b: bytes) -> tuple[bytes, bytes]:
     """A closed group of open ids, and its link."""
     n_b, code = pair_code
-    last = [int(x[:-1].rpartition(b",")[2]) for x in (a, b)]
+    last = [int(x[:-1].rpartition(mark)[2]) for x, mark in ((a, b"."), (b, b","))]
     return a[:-1] + b"|" + b[:-1] + b";", np.array([last[0] * n_b + last[1]], code).tobytes()
 
 
@@ -169,13 +184,13 @@ def aligned(pair: Pair, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b
 def fragment(pair: Pair, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> Fragment:
     """The fragment of the tokens that end in a byte range."""
     cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    open_ids = lambda ids: b"".join(b"%d," % i for i in ids.tolist())
+    open_a, open_b = (lambda ids, mark=mark: b"".join(b"%d%s" % (i, mark) for i in ids.tolist()) for mark in (b".", b","))
     if not len(cuts):
-        return Fragment(len(a), len(b), False, open_ids(a), open_ids(b))
+        return Fragment(len(a), len(b), False, open_a(a), open_b(b))
     head_a, head_b, tail_a, tail_b = (int(np.searchsorted(e, c, "right")) for c in (cuts[0], cuts[-1]) for e in (ends_a, ends_b))
     text, _, links = aligned(pair, a[head_a:tail_a], ends_a[head_a:tail_a], b[head_b:tail_b], ends_b[head_b:tail_b], cuts[1:])
     return Fragment(
-        len(a), len(b), True, open_ids(a[:head_a]), open_ids(b[:head_b]), b"".join(text), links.tobytes(), open_ids(a[tail_a:]), open_ids(b[tail_b:])
+        len(a), len(b), True, open_a(a[:head_a]), open_b(b[:head_b]), b"".join(text), links.tobytes(), open_a(a[tail_a:]), open_b(b[tail_b:])
     )
 
 
@@ -191,49 +206,64 @@ def ranges(pair: Pair, a: list[int], b: list[int], start: int, size: int) -> Ite
 
 
 class _Words:
-    """Words to their closed groups, links and numbers of ids; None for a word that isn't spelled as it is."""
+    """Words to their closed groups and links; groups are None for a word that isn't spelled as it is."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.groups: dict[str, bytes | None] = {}
         self.links: dict[str, bytes] = {}
-        self.of_a: dict[str, int] = {}
-
-    def learn(self, fresh: list[str]) -> None:
-        pair = self.pair
-        if len(self.groups) + len(fresh) > CACHED:
-            for kept in (self.groups, self.links, self.of_a):
-                kept.clear()
-        a, b = pair.encode(fresh)
-        good = [i for i, w in enumerate(fresh) if pair.spells(w, a[i], b[i])]
+        self.older: tuple[dict, dict] = {}, {}
+
+    def want(self, words: set[str]) -> None:
+        """Finds what isn't kept; words that weren't wanted for long are dropped first."""
+        if len(self.groups) > CACHED:
+            self.older, self.groups, self.links = (self.groups, self.links), {}, {}
+        missing = words - self.groups.keys()
+        for mine, old in zip((self.groups, self.links), self.older):
+            mine.update((w, old[w]) for w in missing & old.keys())
+        missing -= self.groups.keys()
+        if missing:
+            self._learn(list(missing))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Joined words are tokenized as if alone; those that can't be joined, or stand beside one that isn't spelled, follow alone."""
         self.groups.update(dict.fromkeys(fresh))
-        if not good:
-            return
-        sizes = [np.array([len(x[i]) for i in good]) for x in (a, b)]
-        ids = [np.array([t for i in good for t in x[i]], "i8") for x in (a, b)]
+        joins = [bool(w) and w[-1] != " " and not w[0].isspace() for w in fresh]
+        plain, others = ([w for w, x in zip(fresh, joins) if x == side] for side in (True, False))
+        for words, size in ((plain, _JOINED), (others, 1)):
+            parts = [words[i : i + size] for i in range(0, len(words), size)]
+            if not parts:
+                continue
+            spans = [" ".join(p) for p in parts]
+            a, b = self.pair.encode(spans)
+            good = self.pair.spelled(spans, a, b)
+            if len(good) < len(parts):
+                if size > 1:
+                    bad = set(range(len(parts))) - set(good)
+                    others += [w for i in bad for w in parts[i]]
+                parts, a, b = ([x[i] for i in good] for x in (parts, a, b))
+            if parts:
+                self._keep(list(chain.from_iterable(parts)), a, b)
+
+    def _keep(self, words: list[str], *tokens: list[list[int]]) -> None:
+        pair = self.pair
+        ids = [np.array(list(chain.from_iterable(x)), "i8") for x in tokens]
         ends = [np.cumsum(n[i]) for n, i in zip((pair.lengths_a, pair.lengths_b), ids)]
         cuts = np.intersect1d(*ends, assume_unique=True)
         text, begin, links = aligned(pair, ids[0], ends[0], ids[1], ends[1], cuts)
         # every word ends at a cut: its groups are those up to it
-        last = np.searchsorted(cuts, ends[0][np.cumsum(sizes[0]) - 1]) + 1
-        tokens = np.append(begin, len(text))[last].tolist()
-        raw, width = links.tobytes(), links.itemsize
-        first = first_group = 0
-        for i, n_a, till, group_till in zip(good, sizes[0].tolist(), tokens, last.tolist()):
-            word = fresh[i]
-            self.groups[word] = b"".join(text[first:till])
-            self.links[word] = raw[first_group * width : group_till * width]
-            self.of_a[word] = n_a
-            first, first_group = till, group_till
-
-    def document(self, words: list[str]) -> tuple[int, int, bytes, bytes] | None:
-        """n_a, n_b, groups and links of words that were learned."""
+        last = np.searchsorted(cuts, np.cumsum([1 + len(w.encode()) for w in words])) + 1
+        stops = np.append(begin, len(text))[last].tolist()
+        self.groups.update(zip(words, [b"".join(text[i:j]) for i, j in zip([0, *stops], stops)]))
+        raw, stops = links.tobytes(), (last * links.itemsize).tolist()
+        self.links.update(zip(words, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+
+    def document(self, words: list[str]) -> tuple[bytes, bytes] | None:
+        """Groups and links of words that were wanted."""
         groups = list(map(self.groups.__getitem__, words))
         if None in groups:
             return None
-        text = b"".join(groups)
-        n_a, n_groups = sum(map(self.of_a.__getitem__, words)), text.count(b"|")
-        return n_a, text.count(b",") + 2 * n_groups - n_a, text, b"".join(map(self.links.__getitem__, words))
+        return b"".join(groups), b"".join(map(self.links.__getitem__, words))
 
 
 @lru_cache(1)
@@ -252,8 +282,10 @@ def split(text: str) -> list[str]:
     return _SPACE.split(text) if _OTHER.search(text) else text.split(" ")
 
 
-def _document(doc_id, n_a: int, n_b: int, text: bytes, links: bytes) -> tuple:
-    return doc_id, n_a, n_b, text.count(b"|"), links, sha256(text[:-1]).hexdigest() if text else ""
+def _document(doc_id, text: bytes, links: bytes) -> tuple:
+    n_groups = text.count(b"|")
+    digest = sha256(text[:-1].replace(b".", b",")).hexdigest() if text else ""
+    return doc_id, text.count(b".") + n_groups, text.count(b",") + n_groups, n_groups, links, digest
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -271,21 +303,16 @@ def _short(path_a: str, path_b: str):
                 some = batch.slice(first, 200)
                 ids, spans = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
                 cut = [split(s) if s else [] for s in spans]
-                wanted = {w for words in cut for w in words}
-                fresh = list(wanted - known.groups.keys())
-                if len(known.groups) + len(fresh) > CACHED:
-                    fresh = list(wanted)  # what is kept is about to go
-                if fresh:
-                    known.learn(fresh)
+                known.want(set().union(*cut))
                 rows = []
                 for doc_id, span, words in zip(ids, spans, cut):
-                    found = known.document(words) if words else (0, 0, b"", b"")
+                    found = known.document(words)
                     if found is None:  # by the whole text
                         (a,), (b,) = pair.encode([span])
-                        found = (0, 0, b"", b"")
+                        found = b"", b""
                         if pair.spells(span, a, b):
                             x = reduce(lambda x, y: compose((pair.n_b, pair.code), x, y), (f for _, f in ranges(pair, a, b, 0, RANGE)), Fragment())
-                            found = (x.n_a, x.n_b, *whole((pair.n_b, pair.code), x))
+                            found = whole((pair.n_b, pair.code), x)
                     rows.append(_document(doc_id, *found))
                 yield _batch(rows, _DOC)
 
@@ -353,7 +380,7 @@ def _finished(pair_code: tuple[int, str]):
             for n in range(batch.num_rows):
                 _, doc_id, _, _, ok, *parts = (column[n].as_py() for column in batch.columns)
                 x = Fragment(*parts) if ok else Fragment()
-                yield _batch([_document(doc_id, x.n_a, x.n_b, *whole(pair_code, x))], _DOC)
+                yield _batch([_document(doc_id, *whole(pair_code, x))], _DOC)
 
     return documents
 
