@@ -29,8 +29,12 @@ from dirlens.llm.common import texts
 
 #: A frame ends with the document that brings it to so many ids: one full set of blocks that are coded side by side.
 FRAME_IDS = rangecoder.LANES * rangecoder.BLOCK
-#: Words whose ids a task keeps.
-CACHED = 500_000
+#: A task keeps the ids of twice as many words.
+CACHED = 200_000
+#: New words that are tokenized at a time.
+_JOINED = 256
+#: How the vocabulary marks the end of a word; its other characters stand for a byte each.
+_WORD_END = "</w>"
 _HEAD = "<4sQ"
 _MAGIC = b"IDF1"
 _SCHEMA = "part int, frame int, before long, n_docs long, n_ids long, data binary"
@@ -40,7 +44,8 @@ class Encoder:
     """The tokenizers library over whole texts, by words where the tokenizer drops white space.
 
     Such a tokenizer gives a text the ids of its words, one after the other, so a word that was met before needs no second
-    run. A text with a special token's string goes to the library as a whole.
+    run. New words of ASCII letters and marks are joined for one run: each of their characters is part of an id, which says
+    where a word's ids end. A text with a special token's string goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -48,21 +53,44 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, "i8")
+        for entry, i in vocabulary.items():
+            self.sizes[i] = len(entry.removesuffix(_WORD_END))
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        plain, others = ([w for w in fresh if w.isascii() == side] for side in (True, False))
+        runs = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        for words, ids in zip(runs, self._ids([b" ".join(r).decode() for r in runs])):
+            ids = np.array(ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            till = np.cumsum(list(map(len, words)))
+            at = np.searchsorted(ends, till) + 1
+            if len(ends) and ends[-1] == till[-1] and np.array_equal(ends[at - 1], till):
+                raw, stops = ids.tobytes(), (4 * at).tolist()
+                self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+            else:  # the tokenizer isn't one of whole characters
+                others += words
+        self.known.update(zip(others, [np.array(x, "<u4").tobytes() for x in self._ids([w.decode() for w in others])]))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         raw = [t.encode() for t in batch]
         whole = [any(s in t for s in self.special) for t in raw]
         split = [[] if w else t.split() for t, w in zip(raw, whole)]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        self.known.update(zip(fresh, self._ids([w.decode() for w in fresh])))
+        if len(self.known) > CACHED:  # words that weren't met for long are dropped first
+            self.older, self.known = self.known, {}
+        missing = set().union(*split) - self.known.keys()
+        self.known.update((w, self.older[w]) for w in missing & self.older.keys())
+        missing -= self.known.keys()
+        if missing:
+            self._learn(list(missing))
         find = self.known.__getitem__
-        return [self._ids([t])[0] if w else b"".join(map(find, words)) for t, w, words in zip(batch, whole, split)]
+        return [np.array(self._ids([t])[0], "<u4").tobytes() if w else b"".join(map(find, words)) for t, w, words in zip(batch, whole, split)]
 
 
 def pack(doc_ids: list, ids: list[bytes]) -> bytes:

@@ -48,9 +48,45 @@ def test_blocks_are_checked():
 
 
 def test_blocks_stand_alone():
-    ids = np.random.default_rng(2).integers(0, 900, 3 * rangecoder.BLOCK).astype("u4")
-    alone = rangecoder.encode(ids[: rangecoder.BLOCK])
-    assert alone[-50:] in rangecoder.encode(ids)
+    """Beside the frequencies in the head, a block's bytes follow from its ids alone."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 900, 3 * rangecoder.BLOCK).astype("u4")
+    other = ids.copy()
+    rng.shuffle(other[rangecoder.BLOCK : 2 * rangecoder.BLOCK])
+    x, y = (rangecoder.encode(i) for i in (ids, other))
+    assert x != y and x[-4000:] == y[-4000:]
+
+
+def prose(n):
+    """Ids of words that follow each other by habit, with the frequencies of a language."""
+    rng = np.random.default_rng(4)
+    often = rng.permutation(49_000)[np.minimum(rng.zipf(1.5, n) - 1, 48_999)].astype("u4")
+    habit = rng.permutation(49_000).astype("u4")
+    follows = rng.random(n) < 0.7
+    for i in np.flatnonzero(follows[1:]) + 1:
+        often[i] = habit[often[i - 1]]
+    return often
+
+
+def test_fewer_bits_than_zlib_and_than_order_0():
+    ids = prose(60_000)
+    bits = len(rangecoder.encode(ids)) * 8 / len(ids)
+    plain = sum(len(zlib.compress(ids[i : i + rangecoder.BLOCK].tobytes(), 9)) for i in range(0, len(ids), rangecoder.BLOCK)) * 8 / len(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert bits < 0.8 * plain and bits < -(share * np.log2(share)).sum()
+
+
+def test_frequencies_add_up():
+    for counts in (np.array([1]), np.array([10**12, 1, 1]), np.ones(40_000, "i8"), np.ones(70_000, "i8"), np.zeros(0, "i8")):
+        freq, bits = rangecoder.quantised(counts)
+        assert len(freq) == 0 or (freq.min() >= 1 and freq.sum() == 1 << bits)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="aB1'!$ \té\u0301İ¿日\u2028 s", max_size=30), min_size=1, max_size=8))
+def test_joined_words_equal_the_library(texts):
+    encoder, library = idfile.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def files(spark, df, parts=3):
