@@ -2,7 +2,9 @@
 
 A text is cut by the tokenizer's pattern. The merges of a word are a fold of higher-order functions over its bytes: each
 step looks up the rank of every neighbouring pair in a constant rank map, takes the lowest and merges it wherever it
-occurs, from the left. An id is its rank; within the fold it is one character, so that a word in any state is a string.
+occurs, from the left. An id is its rank; within the fold it is one character, so that a word in any state is a string. A word of
+more than ``SHORT`` bytes is folded over arrays instead: the state keeps the ranks of its pairs, a step merges one pair and looks up only the
+two that this makes anew.
 
 Distinct words are folded, not occurrences. Words are counted over all texts; the ``DICTIONARY`` most frequent ones at
 most are folded once and sent to all tasks. A task looks words up; what it misses is folded as the distinct words of a
@@ -35,6 +37,8 @@ from dirlens.llm.common import texts, written
 #: The dictionary's most words, and the longest word (in code points) that it may hold.
 DICTIONARY = 500_000
 _LONGEST = 40
+#: Bytes of the longest word whose pairs are all looked up in every step.
+SHORT = 256
 #: Words that a task counts before it sends their counts on.
 _COUNTED = 400_000
 #: Bytes of ids in a block.
@@ -70,33 +74,71 @@ def _one_by_one(token: bytes, ranks: dict[bytes, int]) -> bool:
     return any(token[i:] == token[: len(token) - i] and token[:i] != token[len(token) - i :] for i in cuts if len(token) - i in cuts)
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that merges leave, in plain Python."""
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [ranks.get(x + y) for x, y in zip(pieces, pieces[1:])]
+        best = min((r for r in found if r is not None), default=None)
+        if best is None:
+            return pieces
+        at = found.index(best)
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+
+
+def unreached(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Tokens that no merges lead to, if a word can be one: such a word is taken as it is, as every word that is a token."""
+    found = {}
+    for token, rank in ranks.items():
+        if len(token) > 1 and len(merged(token, ranks)) > 1:
+            try:
+                found[token.decode()] = rank
+            except UnicodeDecodeError:
+                pass  # no word of a text
+    return found
+
+
 class Ranks:
     """The ranks on the driver and as columns of constants."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.ranks = read_ranks(path)
+        self.whole = unreached(self.ranks)
         buckets, self.careful = rank_map(self.ranks)
         self.table = written(spark.createDataFrame([(buckets,)], "ranks array<map<string,string>>"), "bpe-ranks")
 
-    def constant(self) -> Column:
-        """The rank map as the column ``ranks``; a scalar subquery that the optimizer puts in place of the column."""
-        return self.table.select("ranks").scalar().alias("ranks")
+    def constants(self) -> list[Column]:
+        """The rank map as the columns ``ranks`` and ``ranks_of_long``: scalar subqueries that the optimizer puts in place of the columns.
+
+        It does so for a column that is named once; one that is named more often would be copied for every row.
+        """
+        ranks = self.table.select("ranks").scalar()
+        return [ranks.alias("ranks"), ranks.alias("ranks_of_long")]
 
     def fold(self, word: Column) -> Column:
-        """The ids of a word, folded over the array of its bytes. Uses the column ``ranks``."""
+        """The ids of a word, folded over the array of its bytes. Uses the columns ``ranks`` and ``ranks_of_long``."""
         single = "".join(letter(self.ranks[bytes([b])]) for b in range(256))
-        start = F.struct(
-            F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), bytes(range(256)).decode("latin-1"), single).alias("ids"), F.lit(False).alias("done")
+        begin = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), bytes(range(256)).decode("latin-1"), single)
+        size = F.octet_length(word)
+        whole = F.when(size <= SHORT, self._all_pairs(begin, size)).otherwise(
+            let(F.col("ranks_of_long"), lambda ranks: _kept_pairs(begin, size, ranks))
         )
-        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-        whole = F.aggregate(steps, start, lambda state, _: F.when(state["done"], state).otherwise(self._step(state["ids"])), lambda s: s["ids"])
         ids = F.transform(F.filter(F.split(whole, ""), lambda c: c != ""), lambda c: F.ascii(c))
-        return F.transform(ids, lambda c: F.when(c < 0xD800, c - 1).otherwise(c - 0x801))
+        ids = F.transform(ids, lambda c: F.when(c < 0xD800, c - 1).otherwise(c - 0x801))
+        for token, rank in self.whole.items():
+            ids = F.when(word == token, F.array(F.lit(rank))).otherwise(ids)
+        return ids
+
+    def _all_pairs(self, begin: Column, size: Column) -> Column:
+        """The ids of a short word, as letters."""
+        start = F.struct(begin.alias("ids"), F.lit(False).alias("done"))
+        steps = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+        return F.aggregate(steps, start, lambda state, _: F.when(state["done"], state).otherwise(self._step(state["ids"])), lambda s: s["ids"])
 
     def _step(self, ids: Column) -> Column:
         """The pair of the lowest rank, the first such one, merged wherever it occurs, from the left."""
         pair = lambda i: F.substring(ids, i, F.lit(2))
-        rank = lambda i: F.get(F.col("ranks"), F.pmod(F.xxhash64(pair(i)), F.lit(_BUCKETS)).cast("int"))[pair(i)]
+        rank = lambda i: _rank(pair(i), F.col("ranks"))
 
         def merge(found: Column, best: Column) -> Column:
             at = F.array_position(found, best).cast("int")
@@ -114,6 +156,36 @@ class Ranks:
         return F.when(F.length(ids) < 2, end).otherwise(merged)
 
 
+def _rank(pair: Column, table: Column) -> Column:
+    """What a pair of ids merges to, or null."""
+    return F.get(table, F.pmod(F.xxhash64(pair), F.lit(_BUCKETS)).cast("int"))[pair]
+
+
+def _kept_pairs(begin: Column, size: Column, table: Column) -> Column:
+    """The ids of a word, as letters, by a state that has its ids, what each pair of neighbours merges to, and the lowest of these."""
+    none = F.array().cast("array<string>")
+
+    def state(ids: Column, ranks: Column) -> Column:
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(ranks).alias("best"))
+
+    def step(now: Column) -> Column:
+        ids, ranks, best = now["ids"], now["ranks"], now["best"]
+
+        def merge(at: Column) -> Column:
+            left = F.when(at > 1, F.array(_rank(F.concat(F.get(ids, at - 2), best), table))).otherwise(none)
+            right = F.when(at < F.size(ranks), F.array(_rank(F.concat(best, F.get(ids, at + 1)), table))).otherwise(none)
+            joined = F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))
+            return let(F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ids))), lambda r: state(joined, r))
+
+        return let(F.array_position(ranks, best).cast("int"), merge)
+
+    letters = F.filter(F.split(begin, ""), lambda c: c != "")
+    pairs = lambda ids: F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: _rank(F.concat(F.get(ids, i), F.get(ids, i + 1)), table))
+    first = let(letters, lambda ids: let(pairs(ids), lambda ranks: state(ids, ranks)))
+    steps = F.sequence(F.lit(1), size)
+    return F.aggregate(steps, first, lambda now, _: F.when(now["best"].isNull(), now).otherwise(step(now)), lambda s: F.array_join(s["ids"], ""))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -226,12 +298,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     ranks = Ranks(spark, path)
     cut = pretokens.cut(texts(docs, id_col, text_col), pattern)
     counts = written(word_counts(cut, pattern), "bpe-counts")
-    words = frequent(counts, DICTIONARY).select("w", ranks.constant()).select("w", ranks.fold(F.col("w")).alias("ids"))
+    words = frequent(counts, DICTIONARY).select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
     known: dict[str, bytes] = {}
     for row in written(words, "bpe-words").toArrow().to_batches():
         known.update(zip(row.column("w").to_pylist(), map(_little, row.column("ids").to_pylist())))
     blocks = _looked_up(cut, spark.sparkContext.broadcast(known), pattern)
-    folded = blocks.select("doc_ids", "sizes", "ids", "missing", ranks.constant()).select(
+    folded = blocks.select("doc_ids", "sizes", "ids", "missing", *ranks.constants()).select(
         "doc_ids", "sizes", "ids", F.transform("missing", ranks.fold).alias("missing")
     )
     return folded

@@ -31,11 +31,48 @@ def test_folds_equal_the_library(spark, path):
     words = {w for _ in range(300) for w in regex.findall(public_tokenizers.PATTERN, "".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(1, 40))))}
     words |= {"=" * 301, "a" * 200, "aba" * 60}
     ranks, check = Ranks(spark, path), library(path)
-    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", ranks.constant())
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", *ranks.constants())
     folded = df.select("w", ranks.fold(F.col("w")).alias("ids"))
     assert [r.w for r in folded.collect() if r.ids != check.encode_ordinary(r.w)] == []
     # the rank map is a constant of the expression, not a column of every row
-    assert folded._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") == 1
+    assert folded._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") == 2
+
+
+def test_long_words(spark):
+    """Words without any space: a merge costs two look-ups, whatever the length."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (
+        ("abcdefghijklmnopqrstuvwxyz", 5_000), ("ACGT", 2_000), ("日本語の", 700), ("ab", 258), ("=", 3_000), ("aba", 257), ("0123456789abcdef", 1_000),
+    )]
+    ranks, check = Ranks(spark, FIRST), library(FIRST)
+    pieces = [p for w in words for p in regex.findall(public_tokenizers.PATTERN, w)]
+    folded = spark.createDataFrame([(w,) for w in pieces], "w string").repartition(8).select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
+    assert [r.w[:20] for r in folded.collect() if r.ids != check.encode_ordinary(r.w)] == [] and max(map(len, pieces)) == 5_000
+
+
+def test_both_folds_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeinrst =é日") for _ in range(rng.randint(1, 30))) for _ in range(200)] + ["a", "aa", "aaa"]
+    ranks = Ranks(spark, FIRST)
+    both = []
+    for short in (256, 1):
+        monkeypatch.setattr(bytebpe, "SHORT", short)
+        both.append({r.w: r.ids for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids")).collect()})
+    assert both[0] == both[1]
+
+
+def test_a_word_that_is_a_token_is_taken_as_it_is(spark, tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"xyz"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    ranks = Ranks(spark, str(path))
+    assert ranks.whole == {"xyz": 258}  # no merges lead there
+    words = ["xyz", "abc", "xyza", "bc", "xy"]
+    check = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=read_ranks(str(path)), special_tokens={})
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
+    assert {r.w: r.ids for r in df.collect()} == {w: check.encode_ordinary(w) for w in words}
 
 
 def test_texts_equal_the_library_and_come_back(docs, odd, none, monkeypatch):
