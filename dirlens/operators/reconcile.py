@@ -31,33 +31,55 @@ def dataset_comparison(
     )
 
 
-def _preferred(value: str, rows: Column | None = None) -> Column:
-    """The value of the most recently updated document that has one; then the greatest id.
+def _winner(value: str, rows: Column | None = None) -> Column:
+    """The most recently updated document that has a value, then the greatest id: its dataset and id.
 
-    ``max_by`` keeps a single candidate per task and key, however many documents share the key.
+    Only names and times are compared. The values stay where they are until their document has won.
     """
-    usable = F.col(value).isNotNull() if rows is None else F.col(value).isNotNull() & rows
-    rank = F.struct(F.coalesce("last_updated", F.lit("")), F.col("fhir_id"))
-    return F.max_by(F.col(value), F.when(usable, rank))
+    usable = F.col(f"has_{value}") if rows is None else F.col(f"has_{value}") & rows
+    rank = F.struct(F.coalesce("last_updated", F.lit("")).alias("last_updated"), F.col("fhir_id"), F.col(DATASET).alias("dataset"))
+    return F.max(F.when(usable, rank))
 
 
-def _keyed(df: DataFrame, systems: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _keyed(df: DataFrame, systems: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """A narrow row per document and identifier: which attributes it has, not their values."""
     wanted = F.filter("identifiers", lambda e: e["system"].isin(*systems) & e["value"].isNotNull())
     values = F.array_distinct(F.transform(wanted, lambda e: e["value"]))
-    return explode_elements(df, [DATASET, "fhir_id", "last_updated", *columns], values, "npi")
+    presence = [F.col(a).isNotNull().alias(f"has_{a}") for a in attributes]
+    narrow = df.select(DATASET, "fhir_id", "last_updated", *presence, values.alias("npis"))
+    return explode_elements(narrow, [DATASET, "fhir_id", "last_updated", *[f"has_{a}" for a in attributes]], F.col("npis"), "npi")
+
+
+def _with_values(df: DataFrame, winners: DataFrame, keys: Sequence[str], others: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """``winners`` with the attributes' values from the documents that won them.
+
+    A value is read once for each identity that it goes to, by a hash join whose table holds names only; values are neither sorted nor
+    compared, and those that won nothing are not moved. ``winners`` has a column ``win_<attribute>`` for each
+    attribute. Documents are unique by dataset and id.
+    """
+    won = F.posexplode(F.array(*(F.col(f"win_{a}") for a in attributes)))
+    wins = winners.select(*keys, won.alias("attribute", "win")).filter("win is not null").select(
+        *keys, "attribute", F.col("win.dataset").alias("win_dataset"), F.col("win.fhir_id").alias("win_id")
+    )
+    documents = df.select(F.col(DATASET).alias("win_dataset"), F.col("fhir_id").alias("win_id"), F.array(*attributes).alias("values"))
+    values = documents.join(wins.hint("shuffle_hash"), ["win_dataset", "win_id"]).select(
+        *keys, F.struct("attribute", F.get("values", F.col("attribute")).alias("value")).alias("found")
+    )
+    rows = winners.select(*keys, *others).unionByName(values, allowMissingColumns=True)
+    found = rows.groupBy(*keys).agg(*(F.max(o).alias(o) for o in others), F.collect_list("found").alias("found"))
+
+    def value(i: int) -> Column:
+        return F.get(F.filter("found", lambda x: x["attribute"] == i), F.lit(0))["value"]
+
+    return found.select(*keys, *others, *(value(i).alias(a) for i, a in enumerate(attributes)))
 
 
 def consolidate(df: DataFrame, systems: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """One row per dataset and identifier value with the preferred value of each attribute."""
-    return (
-        _keyed(df, systems, attributes)
-        .groupBy(DATASET, "npi")
-        .agg(
-            F.count(F.lit(1)).alias("owners"),
-            F.min("fhir_id").alias("fhir_id"),
-            *[_preferred(a).alias(a) for a in attributes],
-        )
+    winners = _keyed(df, systems, attributes).groupBy(DATASET, "npi").agg(
+        F.count(F.lit(1)).alias("owners"), F.min("fhir_id").alias("fhir_id"), *(_winner(a).alias(f"win_{a}") for a in attributes)
     )
+    return _with_values(df, winners, [DATASET, "npi"], ["owners", "fhir_id"], attributes)
 
 
 def reconcile(
@@ -74,17 +96,16 @@ def reconcile(
     each of them and joining the results.
     """
     from_base, from_enrich = F.col(DATASET) == base, F.col(DATASET) == enrich
-    return (
-        _keyed(df, systems, [name, *attributes])
+    every = [name, *attributes]
+    winners = (
+        _keyed(df, systems, every)
         .groupBy("npi")
         .agg(
             F.min(F.when(from_base, F.col("fhir_id"))).alias("fhir_id"),
-            F.coalesce(_preferred(name, from_base), _preferred(name, from_enrich)).alias(name),
             F.count_if(from_enrich).alias("enriching_records"),
-            *[
-                F.coalesce(_preferred(a, from_base), _preferred(a, from_enrich)).alias(a)
-                for a in attributes
-            ],
+            *(F.coalesce(_winner(a, from_base), _winner(a, from_enrich)).alias(f"win_{a}") for a in every),
         )
         .filter("fhir_id is not null")
     )
+    found = _with_values(df, winners, ["npi"], ["fhir_id", "enriching_records"], every)
+    return found.select("npi", "fhir_id", name, "enriching_records", *attributes)

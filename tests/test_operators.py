@@ -406,6 +406,21 @@ def test_consolidation_prefers_the_latest_value(table, rows):
     assert got["8"]["name"] == "y"
 
 
+def test_values_of_several_documents_are_merged(table, rows):
+    """Each attribute from the latest document that has it; an identity whose documents have none stays."""
+    t = table(
+        "organizations",
+        organization(A, "1", "7", "2024-01-03", telecom=[]), organization(A, "2", "7", "2024-01-02", name="second"), organization(A, "3", "7", "2024-01-01", name="first"),
+        organization(A, "4", "8"), organization(B, "1", "7", "2024-02-01", system=NPI_SYSTEM_B, name="of b"),
+    )
+    got = {(r["source_dataset"], r["npi"]): r for r in rows(reconcile.consolidate(t, NPI_SYSTEMS, ["name", "telecom_json"]))}
+    assert (got[A, "7"]["name"], got[A, "7"]["telecom_json"], got[A, "7"]["owners"], got[A, "7"]["fhir_id"]) == ("second", "[]", 3, "1")
+    assert (got[A, "8"]["owners"], got[A, "8"]["telecom_json"]) == (1, None)
+    assert (got[B, "7"]["name"], got[B, "7"]["owners"]) == ("of b", 1)
+    (row,) = rows(reconcile.reconcile(t, NPI_SYSTEMS, "name", ["telecom_json"]))
+    assert (row["name"], row["fhir_id"], row["enriching_records"], row["telecom_json"]) == ("of b", "1", 3, "[]")
+
+
 def test_reconciliation_enriches_the_base(table, rows):
     t = table(
         "organizations",

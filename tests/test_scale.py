@@ -76,12 +76,60 @@ def test_completeness_is_one_scan_of_its_columns(stored):
 @pytest.mark.parametrize(
     "name",
     ["role_practitioner_refs", "organization_parent_refs", "directory_completeness", "practitioner_role_coverage",
-     "practitioner_npi_overlap", "organization_id_overlap", "organization_reconciliation"],
+     "practitioner_npi_overlap", "organization_id_overlap"],
 )
 def test_co_aggregation_needs_no_join(stored, name):
     assert "Join" not in plan(REPORTS[name](stored))
 
 
+def final_plan(df):
+    """The plan as it ran, without what was reused."""
+    df.collect()
+    return plan(df).split("+- == Initial Plan ==")[0].split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def without_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def nodes(df):
+    """(name, input columns) of every operator of a plan."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        columns = {c.output().apply(i).name() for c in children for i in range(c.output().size())}
+        found.append((node.nodeName(), columns))
+        todo += children
+    return found
+
+
+PAYLOAD = {"name", "telecom_json", "address_json", "type_json", "endpoint_json", "values"}
+
+
+@pytest.mark.parametrize("name", ["organization_consolidation", "organization_reconciliation"])
+def test_merging_sorts_no_payload(stored, without_broadcast, name):
+    """Winners are found by names and times; values are fetched for them by a hash join and never sorted."""
+    found = nodes(REPORTS[name](stored))
+    assert {"ShuffledHashJoin", "ObjectHashAggregate"} <= {n for n, _ in found} and "SortMergeJoin" not in {n for n, _ in found}
+    assert [n for n, columns in found if n.startswith("Sort") and columns & PAYLOAD] == []
+    # values are moved twice: to their winners' names, and to the identity
+    assert sum(bool(columns & (PAYLOAD | {"found"})) for n, columns in found if n == "Exchange") <= 2
+
+
+@pytest.mark.parametrize("name", ["organization_hierarchy_depth", "organization_hierarchy_depth_resolved"])
+def test_hierarchy_doubles_its_steps(stored, without_broadcast, name):
+    """Three joins double the jumps, two move the counts on; a semi-join picks the parents."""
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin).*LeftOuter", final_plan(REPORTS[name](stored)))
+    assert len(joins) == 5
+
+
 def test_top_k_per_dataset_is_cut_before_the_exchange(stored):
     assert "WindowGroupLimit" in plan(REPORTS["role_specialty_codes_per_dataset"](stored))
     assert "WindowGroupLimit" in plan(REPORTS["role_sample_per_dataset"](stored))
