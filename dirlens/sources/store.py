@@ -1,11 +1,15 @@
 """The stored directory: document tables, feature tables, rejected lines and the run log.
 
-All tables are plain Parquet below one root. Document and feature tables are partitioned by
-``source_dataset``, so that a report on one dataset and a reload of one dataset touch nothing else.
+All tables are plain Parquet below one root. A load appends: it writes its own documents, partitioned by ``source_dataset``, their
+features, and a narrow table of the keys that it takes over from earlier loads, which are then retired there. Nothing
+that is stored is read but keys, nothing is rewritten, and a load costs what its delivery costs. One small file commits a load, so
+readers see all of it or nothing, documents and features together. Tables are read as the committed
+loads without the retired keys; ``compact`` writes them anew as one load.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
@@ -23,8 +27,9 @@ from dirlens.schema import KEY, REJECTED_SCHEMA, RESOURCE_SCHEMA, RUN_SCHEMA
 from dirlens.session import work_folder
 from dirlens.sources.ndjson import POSITION, Delivery, parse_lines, read_lines, size_in_bytes
 
-# A list of this many keys takes some 20 MB.
+# A list of this many keys takes some 20 MB, unless they are long.
 BROADCAST_KEYS = 100_000
+BROADCAST_KEY_BYTES = 16 << 20
 
 CODEC = "zstd"
 
@@ -63,9 +68,14 @@ def _last_positions(staged: DataFrame) -> DataFrame:
     return staged.groupBy(*KEY).agg(F.max(F.struct(*POSITION)).alias("last"))
 
 
-def _sized(keys: DataFrame, n: int) -> DataFrame:
-    """Keys for a join: broadcast when their counted number is small, shuffled otherwise."""
-    return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+def _sized(keys: DataFrame, n: int, size: int = 0) -> DataFrame:
+    """Keys for a join: broadcast when their counted number and bytes are small; otherwise both sides are shuffled, and only keys are held."""
+    return F.broadcast(keys) if n <= BROADCAST_KEYS and size <= BROADCAST_KEY_BYTES else keys.hint("shuffle_hash")
+
+
+def _load_name(load_id: str) -> str:
+    """A load's name in paths; never a number, which a reader of paths would take it for."""
+    return f"load-{load_id}"
 
 
 def last_write_wins(staged: DataFrame, counts: DataFrame, n_repeated: int) -> DataFrame:
@@ -89,24 +99,15 @@ def last_write_wins(staged: DataFrame, counts: DataFrame, n_repeated: int) -> Da
     return staged.join(last, [*KEY, *POSITION], "left_semi")
 
 
-def untouched(old: DataFrame, new: DataFrame) -> DataFrame | None:
-    """The rows of ``old`` whose key is not in ``new``; None when there are none.
+@dataclass(frozen=True)
+class Commit:
+    """A finished load: the number of documents per dataset, of keys retired in earlier loads, and the loads it stands in for."""
 
-    Only keys are read to count them. A full redelivery then needs no old document, a pure
-    addition keeps them all, and in between the shorter list of keys decides.
-    """
-    keys = new.select(*KEY)
-    old_keys = old.select(*KEY)
-    n_old = old_keys.count()
-    n_replaced = old_keys.join(keys, KEY, "left_semi").count()
-    n_kept = n_old - n_replaced
-    if n_kept == 0:
-        return None
-    if n_replaced == 0:
-        return old
-    if n_kept < n_replaced:
-        return old.join(_sized(old_keys.join(keys, KEY, "left_anti"), n_kept), KEY, "left_semi")
-    return old.join(_sized(old_keys.join(keys, KEY, "left_semi"), n_replaced), KEY, "left_anti")
+    load: str
+    datasets: dict[str, int]
+    retired: int
+    retired_bytes: int
+    replaces: list[str]
 
 
 class Store:
@@ -128,14 +129,54 @@ class Store:
         place = self._place(path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    def _datasets(self, path: str) -> set[str]:
-        """The datasets that a table has a partition of."""
+    def _files(self, path: str):
         place = self._place(path)
-        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        place, files = self._files(path)
+        return files.exists(place)
+
+    # --- commits ---------------------------------------------------------------------------
+
+    def commits(self, resource: str) -> list[Commit]:
+        """The loads that make up a resource now."""
+        place, files = self._files(self._path("commits", resource))
         if not files.exists(place):
-            return set()
-        names = (found.getPath().getName() for found in files.listStatus(place))
-        return {name.split("=", 1)[1] for name in names if name.startswith("source_dataset=")}
+            return []
+        found = []
+        for status in files.listStatus(place):
+            if status.getPath().getName().endswith(".json"):
+                with_bytes = files.open(status.getPath())
+                found.append(Commit(**json.loads(bytes(with_bytes.readAllBytes()))))
+                with_bytes.close()
+        replaced = {load for c in found for load in c.replaces}
+        return sorted((c for c in found if c.load not in replaced), key=lambda c: c.load)
+
+    def _commit(self, resource: str, commit: Commit) -> None:
+        """Makes a load visible, by one rename."""
+        folder = self._path("commits", resource)
+        place, files = self._files(f"{folder}/{commit.load}.json")
+        draft = self._place(f"{folder}/_{commit.load}.draft")
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps(vars(commit)).encode()))
+        out.close()
+        if not files.rename(draft, place):
+            raise OSError(f"{place} can't be written")
+
+    def _live(self, kind: str, resource: str, commits: Sequence[Commit]) -> DataFrame | None:
+        """The rows of some loads, with their ``load``, without the keys that later loads took over; None without rows."""
+        base = self._path(kind, resource)
+        paths = [f"{base}/load={c.load}" for c in commits if c.datasets]
+        if not paths:
+            return None
+        rows = self.spark.read.option("basePath", base).parquet(*paths)
+        retiring = [c for c in commits if c.retired]
+        if not retiring:
+            return rows
+        gone = self.spark.read.parquet(*(f"{self._path('retired', resource)}/by={c.load}" for c in retiring))
+        n, size = sum(c.retired for c in retiring), sum(c.retired_bytes for c in retiring)
+        return rows.join(_sized(gone, n, size), [*KEY, "load"], "left_anti").select(rows.columns)
 
     def _existing(self, path: str) -> DataFrame | None:
         place = self._place(path)
@@ -148,21 +189,26 @@ class Store:
         return self.spark.createDataFrame([], schema) if found is None else found.select(schema.names)
 
     def documents(self, resource: str) -> DataFrame:
-        return self._table(self._path("documents", resource), RESOURCE_SCHEMA)
+        found = self._live("documents", resource, self.commits(resource))
+        return self.spark.createDataFrame([], RESOURCE_SCHEMA) if found is None else found.select(RESOURCE_SCHEMA.names)
+
+    def _without_features(self, resource: str, commits: Sequence[Commit]) -> list[Commit]:
+        base = self._path("features", resource)
+        return [c for c in commits if c.datasets and not self._exists(f"{base}/load={c.load}/_SUCCESS")]
 
     def features(self, resource: str) -> DataFrame:
         """The feature table; projected from the documents where none was written.
 
-        A load refreshes the features of its datasets. A load that broke off before that has left
-        documents without features, for which no report should be made.
+        Features belong to the load whose documents they were made from. If only some loads have them, no report should be made.
         """
-        found = self._existing(self._path("features", resource))
-        if found is None:
+        commits = self.commits(resource)
+        missing = self._without_features(resource, commits)
+        if len(missing) == sum(bool(c.datasets) for c in commits):
             return features(self.documents(resource), resource)
-        missing = self._datasets(self._path("documents", resource)) - self._datasets(self._path("features", resource))
         if missing:
-            raise MissingFeatures(f"{resource}: no features of {', '.join(sorted(missing))}; call write_features")
-        return found
+            names = sorted({d for c in missing for d in c.datasets})
+            raise MissingFeatures(f"{resource}: no features of loads of {', '.join(names)}; call write_features")
+        return self._live("features", resource, commits).drop("load")
 
     def rejected(self, resource: str) -> DataFrame:
         return self._table(self._path("rejected", resource), REJECTED_SCHEMA)
@@ -174,11 +220,11 @@ class Store:
         """Reports over the stored feature tables."""
         return Directory(self.features, self.documents, self.runs)
 
-    def _replace(self, rows: DataFrame, path: str) -> None:
-        """Overwrite the dataset partitions that occur in ``rows``, others stay."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-            "compression", CODEC
-        ).partitionBy("source_dataset").parquet(path)
+    def _write(self, rows: DataFrame, kind: str, resource: str, load: str) -> None:
+        """The rows of one load. What a load that broke off has left is replaced."""
+        rows.write.mode("overwrite").option("compression", CODEC).partitionBy("source_dataset").parquet(
+            f"{self._path(kind, resource)}/load={load}"
+        )
 
     # --- ingest ----------------------------------------------------------------------------
 
@@ -235,24 +281,16 @@ class Store:
         self._delete(folder)
 
     def load_staged(self, rows: DataFrame, staged: Sequence[Staged], resource: str, load_id: str) -> None:
-        """Quarantine, merge, refresh features and log; what batch and incremental loads share.
+        """Quarantine, merge, write features and log; what batch and incremental loads share.
 
-        Rejected lines and log rows are kept under the load's id: a load that is repeated replaces its own.
-        Features that were written before are refreshed for the loaded datasets.
+        Rejected lines and log rows are kept under the load's id: a load that is repeated replaces its own, and
+        changes no documents if it was committed. If features were written before, the load's are written
+        with its documents and become visible with them.
         """
         merge_start = time.monotonic()
         if any(s.error_count for s in staged):
             self._quarantine(rows, resource, load_id)
-        had_features = self._existing(self._path("features", resource)) is not None
-        datasets = sorted({s.delivery.dataset for s in staged})
-        if had_features:
-            # Until the refresh is done they are missing, which is noticed, instead of old.
-            for dataset in datasets:
-                self._delete(f"{self._path('features', resource)}/source_dataset={dataset}")
-        stored = self.upsert(rows.filter("problem is null"), resource)
-        if had_features:
-            # Also of datasets without an accepted line, whose documents stay.
-            self.write_features(resource, datasets)
+        stored = self.upsert(rows.filter("problem is null"), resource, load_id)
         self._log(staged, resource, stored, round((time.monotonic() - merge_start) * 1000), load_id)
 
     def _quarantine(self, rows: DataFrame, resource: str, load_id: str) -> None:
@@ -265,30 +303,69 @@ class Store:
             "raw_json",
         ).write.mode("overwrite").parquet(f"{self._path('rejected', resource)}/load_id={load_id}")
 
-    def upsert(self, rows: DataFrame, resource: str) -> dict[str, int]:
+    def upsert(self, rows: DataFrame, resource: str, load_id: str | None = None) -> dict[str, int]:
         """Replace or add documents by (dataset, id); returns the distinct keys per dataset.
 
-        Only the dataset partitions that occur in ``rows`` are rewritten. The overwrite is
-        dynamic: new files appear beside the old ones and are swapped in when all tasks are done.
+        Of stored documents only the keys of the same datasets are read, to find those that this load takes over.
         """
-        path = self._path("documents", resource)
+        load = _load_name(load_id or uuid.uuid4().hex)
+        commits = self.commits(resource)
+        done = next((c for c in commits if c.load == load), None)
+        if done:
+            return done.datasets
         counts = key_counts(rows).persist()
-        # One line per dataset.
-        found = counts.groupBy("source_dataset").agg(
-            F.count(F.lit(1)).alias("keys"), F.count_if(F.col("copies") > 1).alias("repeated")
-        ).collect()
-        stored = {r["source_dataset"]: r["keys"] for r in found}
-        survivors = last_write_wins(rows, counts, sum(r["repeated"] for r in found))
-        fresh = survivors.withColumn("doc", F.parse_json("raw_json")).select(*DOCUMENT_COLUMNS)
-        old = self._existing(path)
-        if old is not None:
-            kept = untouched(old.filter(F.col("source_dataset").isin(*stored)), counts)
-            if kept is not None:
-                fresh = kept.select(*DOCUMENT_COLUMNS).unionByName(fresh)
-        self._replace(fresh, path)
-        counts.unpersist()
+        try:
+            # One line per dataset.
+            found = counts.groupBy("source_dataset").agg(
+                F.count(F.lit(1)).alias("keys"), F.count_if(F.col("copies") > 1).alias("repeated"), F.sum(F.octet_length("fhir_id")).alias("size")
+            ).collect()
+            stored = {r["source_dataset"]: r["keys"] for r in found}
+            retired = retired_bytes = 0
+            if stored:
+                survivors = last_write_wins(rows, counts, sum(r["repeated"] for r in found))
+                self._write(survivors.withColumn("doc", F.parse_json("raw_json")).select(*DOCUMENT_COLUMNS), "documents", resource, load)
+                earlier = [c for c in commits if stored.keys() & c.datasets.keys()]
+                if earlier:
+                    retired, retired_bytes = self._retire(counts, resource, load, earlier, stored, sum(r["size"] for r in found))
+        finally:
+            counts.unpersist()
+        commit = Commit(load, stored, retired, retired_bytes, [])
+        missing = self._without_features(resource, commits)
+        if stored and len(missing) < sum(bool(c.datasets) for c in commits):
+            self._write_features(resource, commit)
+        self._commit(resource, commit)
         return stored
 
+    def _retire(self, counts: DataFrame, resource: str, load: str, earlier: Sequence[Commit], stored: dict[str, int], size: int) -> tuple[int, int]:
+        """Writes the keys that a load takes over, with the load that had them; their number and bytes."""
+        path = f"{self._path('retired', resource)}/by={load}"
+        # All commits: a key that was retired before isn't taken over again
+        old = self._live("documents", resource, self.commits(resource)).filter(F.col("source_dataset").isin(*stored)).select(*KEY, "load")
+        old.join(_sized(counts.select(*KEY), sum(stored.values()), size), KEY, "left_semi").write.mode("overwrite").parquet(path)
+        n = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("fhir_id")).alias("size")).first()
+        return n["n"], n["size"] or 0
+
+    def compact(self, resource: str) -> None:
+        """Writes all documents and features of a resource as one load, and deletes the loads that it stands in for.
+
+        Until it is committed the old loads are read; what is left of them after a failure is not read any more.
+        """
+        commits = self.commits(resource)
+        documents = self._live("documents", resource, commits)
+        if documents is None or (len(commits) == 1 and not commits[0].retired):
+            return
+        load = _load_name(uuid.uuid4().hex)
+        self._write(documents.select(*DOCUMENT_COLUMNS), "documents", resource, load)
+        written = self.spark.read.parquet(f"{self._path('documents', resource)}/load={load}")
+        datasets = {r["source_dataset"]: r["n"] for r in written.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not self._without_features(resource, commits):
+            self._write(self._live("features", resource, commits).drop("load"), "features", resource, load)
+        self._commit(resource, Commit(load, datasets, 0, 0, [c.load for c in commits]))
+        for c in commits:
+            for kind, part in (("documents", "load"), ("features", "load"), ("retired", "by")):
+                self._delete(f"{self._path(kind, resource)}/{part}={c.load}")
+            self._delete(f"{self._path('commits', resource)}/{c.load}.json")
+
     def _log(self, staged: Sequence[Staged], resource: str, stored: dict[str, int], merge_ms: int, load_id: str) -> None:
         """One row per delivery. The merge time is part of each delivery's total."""
         records: dict[str, int] = {}
@@ -313,9 +390,13 @@ class Store:
 
     # --- features --------------------------------------------------------------------------
 
+    def _write_features(self, resource: str, commit: Commit) -> None:
+        base = self._path("documents", resource)
+        documents = self.spark.read.option("basePath", base).parquet(f"{base}/load={commit.load}").select(RESOURCE_SCHEMA.names)
+        self._write(features(documents, resource), "features", resource, commit.load)
+
     def write_features(self, resource: str, datasets: Sequence[str] | None = None) -> None:
-        """Extract the feature table of a resource, for all or for the reloaded datasets."""
-        documents = self.documents(resource)
-        if datasets is not None:
-            documents = documents.filter(F.col("source_dataset").isin(*datasets))
-        self._replace(features(documents, resource), self._path("features", resource))
+        """Extract the features of all loads that have none, or of those with some of the datasets."""
+        for commit in self._without_features(resource, self.commits(resource)):
+            if datasets is None or commit.datasets.keys() & set(datasets):
+                self._write_features(resource, commit)

@@ -1,6 +1,8 @@
 """Loading text deliveries."""
 
 import gzip
+import hashlib
+from pathlib import Path
 
 import pytest
 import zstandard
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dirlens.sources.ndjson import Delivery, parse_lines, read_lines
 from dirlens.sources import store as stores
-from dirlens.sources.store import RejectedLines, Store, key_counts, last_write_wins, untouched
+from dirlens.sources.store import MissingFeatures, RejectedLines, Store, key_counts, last_write_wins
 from dirlens.streaming.incremental import ingest_new_files
 
 A, B = "dataset-a", "dataset-b"
@@ -113,16 +115,96 @@ def test_last_line_over_many_splits_of_a_hot_id(spark, tmp_path, monkeypatch, li
     assert hot.raw_json == doc("hot", 29997)
 
 
+def files_of(store, *kinds):
+    """Size and time of every file of some tables."""
+    root = Path(store.root)
+    return {str(f): (f.stat().st_size, f.stat().st_mtime_ns) for kind in kinds for f in (root / kind).rglob("*.parquet")}
+
+
+TABLES = ("documents", "features", "retired")
+
+
 @pytest.mark.parametrize("limit", [0, 100_000])
-@pytest.mark.parametrize("batch", [range(0), range(3), range(8), range(10), range(20, 22)])
-def test_untouched_rows(spark, monkeypatch, batch, limit):
+@pytest.mark.parametrize("batch", [range(3), range(8), range(10), range(20, 22)])
+def test_loads_take_keys_over(store, tmp_path, monkeypatch, batch, limit):
+    """Whatever part of the keys comes again, and again, of one dataset."""
     monkeypatch.setattr(stores, "BROADCAST_KEYS", limit)
-    keys = "source_dataset string, fhir_id string"
-    old = spark.createDataFrame([(A, str(i)) for i in range(10)], keys)
-    latest = spark.createDataFrame([(A, str(i)) for i in batch] + [(B, "0")], keys)
-    kept = untouched(old, latest)
-    got = set() if kept is None else {r.fhir_id for r in kept.collect()}
-    assert got == {str(i) for i in range(10)} - {str(i) for i in batch}
+    store.ingest([Delivery(write(tmp_path / f"{d}.ndjson", *(doc(i, "old") for i in range(10))), d, "endpoints") for d in (A, B)])
+    for value in ("new", "newer"):
+        store.ingest([Delivery(write(tmp_path / f"{value}.ndjson", *(doc(i, value) for i in batch)), A, "endpoints")])
+    expected = {(A, str(i)): "old" for i in range(10)} | {(B, str(i)): "old" for i in range(10)} | {(A, str(i)): "newer" for i in batch}
+    assert contents(store) == sorted((*k, v) for k, v in expected.items())
+    assert sum(c.retired for c in store.commits("endpoints")) == 2 * len(batch) - (0 if batch[0] < 10 else len(batch))
+    store.compact("endpoints")
+    assert contents(store) == sorted((*k, v) for k, v in expected.items()) and len(store.commits("endpoints")) == 1
+
+
+def test_a_small_load_writes_little_and_leaves_files_alone(store, tmp_path):
+    lines = [doc(i, hashlib.sha256(str(i).encode()).hexdigest() * 8) for i in range(4000)]
+    store.ingest([Delivery(write(tmp_path / "a.ndjson", *lines), A, "endpoints"), Delivery(write(tmp_path / "b.ndjson", *lines), B, "endpoints")])
+    store.write_features("endpoints")
+    before = files_of(store, *TABLES)
+    store.ingest([Delivery(write(tmp_path / "c.ndjson", doc(7, "new")), A, "endpoints")])
+    after = files_of(store, *TABLES)
+    assert before.items() <= after.items()
+    old, new = sum(n for n, _ in before.values()), sum(after[f][0] for f in after.keys() - before.keys())
+    assert new < 40_000 < old / 10
+    assert store.features("endpoints").count() == store.documents("endpoints").count() == 8000
+    assert [r[2] for r in contents(store) if r[:2] == (A, "7")] == ["new"]
+
+
+def test_a_load_that_breaks_off_is_not_seen_and_can_be_repeated(store, tmp_path, monkeypatch):
+    store.ingest([Delivery(write(tmp_path / "a.ndjson", doc(1, "x"), doc(2, "k")), A, "endpoints")])
+    store.write_features("endpoints")
+    before = contents(store), sorted(map(str, store.features("endpoints").collect()))
+    staged = str(tmp_path / "staged")
+    parse_lines(read_lines(store.spark, write(tmp_path / "b.ndjson", doc(1, "y"))), A, F.lit(0)).write.parquet(staged)
+    rows = store.spark.read.parquet(staged)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    for step in ("_write_features", "_commit"):
+        with monkeypatch.context() as patch:
+            patch.setattr(store, step, broken)
+            with pytest.raises(OSError):
+                store.upsert(rows, "endpoints", "again")
+        assert (contents(store), sorted(map(str, store.features("endpoints").collect()))) == before
+    for _ in range(2):  # a load that was committed changes nothing when it is repeated
+        assert store.upsert(rows, "endpoints", "again") == {A: 1}
+        assert contents(store) == [(A, "1", "y"), (A, "2", "k")]
+        assert store.features("endpoints").count() == 2
+
+
+def test_features_follow_the_loads_they_were_made_from(store, tmp_path):
+    store.ingest([Delivery(write(tmp_path / "a.ndjson", doc(1, "x")), A, "endpoints")])
+    store.write_features("endpoints")
+    (commit,) = store.commits("endpoints")
+    store.ingest([Delivery(write(tmp_path / "b.ndjson", doc(2, "y")), B, "endpoints")])
+    late = next(c for c in store.commits("endpoints") if c.load != commit.load)
+    store._delete(f"{store.root}/features/endpoints/load={late.load}")
+    with pytest.raises(MissingFeatures):
+        store.features("endpoints")
+    store.write_features("endpoints", [B])
+    assert store.features("endpoints").count() == 2
+
+
+def test_compaction_keeps_features_and_survives_a_failure(store, tmp_path, monkeypatch):
+    for i in range(3):
+        store.ingest([Delivery(write(tmp_path / f"{i}.ndjson", doc(1, i), doc(10 + i, "k")), A, "endpoints")])
+        store.write_features("endpoints")
+    wanted = contents(store), sorted(map(str, store.features("endpoints").collect()))
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.compact("endpoints")
+    assert (contents(store), sorted(map(str, store.features("endpoints").collect()))) == wanted
+    store.compact("endpoints")
+    assert (contents(store), sorted(map(str, store.features("endpoints").collect()))) == wanted
+    (commit,) = store.commits("endpoints")
+    assert commit.datasets == {A: 4} and commit.retired == 0
+    store.ingest([Delivery(write(tmp_path / "z.ndjson", doc(1, "z")), A, "endpoints")])
+    assert [r for r in contents(store) if r[1] == "1"] == [(A, "1", "z")] and store.features("endpoints").count() == 4
 
 
 def test_features_are_written_per_dataset_and_serve_reports(store, tmp_path):
