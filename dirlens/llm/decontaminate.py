@@ -14,7 +14,7 @@ Defined results: letters compare without case where lower-casing keeps the lengt
 white space only and a null text match nothing; a null id of a document stays null; an item without an id is not reported
 by ``matches``, whose rows name an item, and counts in ``without_matches``; repeated rows are reported each; of several occurrences of an
 item in a text the one with the least distance, then the first, is reported; several texts under one item id
-are reported as the best of them (if one portion holds them all; items beyond one portion give one row for each).
+are reported as the best of them, whichever portions hold them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -176,24 +177,29 @@ def portions(items: DataFrame, id_col: str, text_col: str, named: bool = True) -
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text",
             item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): every item that occurs in a document; code points, end exclusive."""
-    schema = "doc_id long, item_id long, distance int, start long, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    schema = "doc_id long, item_id long, distance int, start long, end long, uid long"
+    rows = texts(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    found_in = []
     for portion in portions(items, item_id_col, item_text_col):
 
         def scan(batches: Iterator[pa.RecordBatch], portion=portion) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(portion, rate)
             for batch in batches:
                 found = [
-                    (doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in matcher.find(text)
+                    (doc, *hit, uid) for doc, text, uid in zip(*(c.to_pylist() for c in batch.columns)) for hit in matcher.find(text)
                 ]
-                columns = zip(*found) if found else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                columns = zip(*found) if found else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "distance", "start", "end"]
+                    [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "distance", "start", "end", "uid"]
                 )
 
-        out = out.unionByName(texts(docs, id_col, text_col).mapInArrow(scan, schema))
-    return out
+        found_in.append(rows.mapInArrow(scan, schema))
+    if len(found_in) < 2:
+        return (found_in or [docs.sparkSession.createDataFrame([], schema)])[0].drop("uid")
+    # the texts of one item may lie in several portions: the best of them, for each row of the documents
+    best = F.min(F.struct("distance", "start", "end")).alias("best")
+    return reduce(DataFrame.unionByName, found_in).groupBy("uid", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text",

@@ -6,8 +6,8 @@ entity c is estimated from the corpus: with document frequencies df and N docume
 
     PMI(c; t) = log(joint(c, t) N / (df(c) df(t)))        IC(c) = log(N / df(c))
 
-and t discloses the share PMI / IC of the information in c. Words that reach ``THRESHOLD`` get a span of their
-own; those that disclose everything are removed from a text, the others are generalised. All of it is DataFrame
+and t discloses the share PMI / IC of the information in c. Words that reach ``THRESHOLD``, and meet the entity in at least
+``SUPPORT`` documents, get a span of their own; those that disclose everything are removed from a text, the others are generalised. All of it is DataFrame
 expressions; frequencies are counted over all documents, and only documents with entities carry their text further.
 
 With ``window=None`` joint(c, t) counts whole documents, as df does, and every occurrence of a disclosing word in a
@@ -29,9 +29,9 @@ from dirlens.llm.common import texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Code points on either side of an entity in which words are looked at, if asked for.
-WINDOW = 80
 THRESHOLD = 0.9
+#: Documents in which an entity and a word must meet before the word can disclose the entity: a meeting alone is chance.
+SUPPORT = 2
 #: At most so many frequent words, and as many frequent entities, are broadcast to drop pairs early.
 FREQUENT = 1 << 16
 
@@ -168,11 +168,12 @@ def _met(found: DataFrame, holders: DataFrame, counts: DataFrame, total: int, th
     return written(pairs.select("uid", "entity", "term"), "pii-met"), words.filter(F.col("df_t") > limit(F.lit(most)))
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None, threshold: float = THRESHOLD,
+          support: int = SUPPORT) -> DataFrame:
     """(doc_id, text, spans): entities and disclosing terms of every document, by kind as listed, then start.
 
     ``text`` is null where there are no spans. A term's ``hit`` says what becomes of it: removed or generalised.
-    Without a ``window`` whole documents count; the query asks for that.
+    Whole documents count; a ``window`` of so many code points on either side of an entity counts and marks less.
     """
     rows = texts(docs, id_col, text_col)
     base = rows.select("doc_id", "text", entities(F.col("text")).alias("spans"))
@@ -191,7 +192,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         met, passed = _met(with_any, holders, counts, total, threshold)
     else:
         met = near.select("uid", "entity", "term").distinct()
-    held = met.groupBy("entity", "term").agg(F.count("*").alias("joint"))
+    held = met.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= support)
     n = F.lit(float(total))
     told = F.col("joint") * n / (F.col("df_c") * F.col("df_t"))
     all_of_it = n / F.col("df_c")

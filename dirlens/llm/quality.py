@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlens.llm.common import texts
+from dirlens.llm.common import texts, written
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 200_000
@@ -216,11 +216,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             })
 
     rows = chosen.mapInArrow(measured, "doc_id long, label int, place long, lines long, features binary").dropDuplicates()
-    total, kept = 0, []
-    for row in sorted(rows.collect(), key=lambda r: (r["place"], r["doc_id"], r["features"])):
+    rows = written(rows.withColumn("h", F.xxhash64("features")), "quality-rows")
+    # which rows fit is decided by their numbers of lines; only the features of these come to the driver
+    total, chosen_rows = 0, []
+    for row in rows.filter("lines > 0").select("place", "doc_id", "h", "lines").orderBy("place", "doc_id", "h").limit(SAMPLE_LINES).collect():
         if total + row["lines"] <= SAMPLE_LINES:
-            kept.append(row)
+            chosen_rows.append((row["place"], row["doc_id"], row["h"]))
             total += row["lines"]
+    names = docs.sparkSession.createDataFrame(chosen_rows, "place long, doc_id long, h long")
+    kept = sorted(rows.join(F.broadcast(names), ["place", "doc_id", "h"], "left_semi").collect(), key=lambda r: (r["place"], r["doc_id"], r["h"]))
     features = np.frombuffer(b"".join(r["features"] for r in kept), "f4").reshape(-1, len(FEATURES)).astype("f8")
     return fit(features, np.array([r["lines"] for r in kept], "i8"), np.array([r["label"] for r in kept], "i8"))
 

@@ -75,9 +75,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
-    return pii.found(table(spark, sf_dir, "documents"), window=None).select(
+    terms = digests.of_kinds(spans, [pii.TERM])
+    removed = F.size(F.filter(terms, lambda s: s["hit"] == "removed")).cast("long")
+    return pii.found(table(spark, sf_dir, "documents")).select(
         "doc_id", *(digests.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS),
-        digests.digest(digests.of_kinds(spans, pii.KINDS)).alias("base_sha256"), digests.as_text(spans).alias("spans"),
+        digests.digest(digests.of_kinds(spans, pii.KINDS)).alias("base_sha256"), digests.as_text(spans).alias("spans"), removed.alias("n_removed"), (F.size(terms) - removed).alias("n_generalised"),
     )
 
 

@@ -126,9 +126,16 @@ def _element(op: str, arg) -> tuple[set[str] | None, Query]:
     return None, True
 
 
+def _ascii(query: Query) -> Query:
+    """The query without trigrams that have other letters: texts are indexed by bytes, and such letters are several."""
+    if query is True or isinstance(query, str):
+        return query if query is True or query.isascii() else True
+    return (_all if query[0] == "and" else _any)([_ascii(q) for q in query[1]])
+
+
 def trigram_query(pattern: str) -> Query:
-    """The Boolean query, over lower-cased trigrams, that every text with a match satisfies."""
-    return _analysed(parser.parse(pattern))[1]
+    """The Boolean query, over lower-cased trigrams of ASCII characters, that every text with a match satisfies."""
+    return _ascii(_analysed(parser.parse(pattern))[1])
 
 
 def trigrams(query: Query) -> set[str]:

@@ -101,3 +101,16 @@ def test_layout_takes_no_edits(spark, docs):
     # an edit in the middle of a run costs no more than it did
     matcher = decontaminate.Matcher([(1, "ab   cd" + "x" * 8)], 0.07)
     assert matcher.find("ab # cd" + "x" * 8) == [(1, 1, 0, 15)]
+
+
+def test_texts_of_one_item_in_any_portions(docs, spark, monkeypatch):
+    """The best of an item's texts for each row, whether one portion holds them or each its own; repeated rows are reported each."""
+    long = "the quick brown fox jumps over the lazy dog and runs far away"
+    texts = [(1, long), (1, long.replace("quick", "quack")), (1, "something else that is long enough here"), (2, "something else that is long enough here")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    rows = [(7, f"x {long} y"), (7, f"x {long} y"), (8, "and something else that is long enough here"), (None, long), (9, "nothing")]
+    found = []
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(decontaminate, "ITEM_CHARS", size)
+        found.append(sorted(map(tuple, matches(docs(*rows), items).collect()), key=str))
+    assert found[0] == found[1] and [r[:3] for r in found[0]] == [(7, 1, 0), (7, 1, 0), (8, 1, 0), (8, 2, 0), (None, 1, 0)]

@@ -42,7 +42,7 @@ def test_words_that_reveal_an_entity(docs):
     common = [(100 + i, f"the other note about nothing number{i}") for i in range(30)]
     mail = "write to ann@x.org"
     rows = [(1, f"Zebra the {mail} about nothing"), (2, f"zebra note {mail} the"), (3, f"the quagga {mail}"), (4, f"quagga other{' filler' * 30} note {mail}")]
-    spans = {r.doc_id: r for r in found(docs(*rows, *common)).collect()}
+    spans = {r.doc_id: r for r in found(docs(*rows, *common), window=80).collect()}
     terms = lambda i: {(rows[i - 1][1][s.first : s.last], s.hit) for s in spans[i].spans if s.kind == "term"}
     # N = 34, df(entity) = 4: zebra is in 2 documents, always near it; quagga is in 2, once beyond the window; "the" is everywhere
     assert ("Zebra", "removed") in terms(1) and ("zebra", "removed") in terms(2)
@@ -62,7 +62,7 @@ def test_no_documents(none):
     assert found(none).collect() == []
 
 
-def disclosed(rows, threshold=0.9):
+def disclosed(rows, threshold=0.9, support=2):
     """Per document, (first, last, fate) of the disclosing words, by counting whole documents."""
     ents = [plain(t) for _, t in rows]
     names = [{f"{k}:{digits(t[a:b]) if k in ('card', 'phone') else t[a:b].lower()}" for k, a, b in e} for (_, t), e in zip(rows, ents)]
@@ -73,7 +73,7 @@ def disclosed(rows, threshold=0.9):
     def fate(c, t):
         df_c, joint = df(names, c), sum(c in e and t in b for e, b in zip(names, bags))
         told = joint * n / (df_c * df(bags, t))
-        return "" if df_c == n or told < (n / df_c) ** threshold else "removed" if told >= n / df_c else "generalised"
+        return "" if df_c == n or joint < support or told < (n / df_c) ** threshold else "removed" if told >= n / df_c else "generalised"
 
     clear = lambda e, a, b: not any(x < b and a < y for _, x, y in e)
     return {
@@ -82,6 +82,15 @@ def disclosed(rows, threshold=0.9):
     }
 
 
+def test_words_met_once_disclose_nothing(docs):
+    """An entity that occurs once would be revealed by each rare word beside it; so would a word that meets it once."""
+    rows = [(1, "unique words beside ann@x.org here"), (2, "bob@y.org quokka one"), (3, "bob@y.org quokka two"), *((10 + i, f"plain {i % 3}") for i in range(30))]
+    for support in (1, 2, 3):
+        got = {r.doc_id: [(s.first, s.last, s.hit) for s in r.spans if s.kind == "term"] for r in found(docs(*rows), support=support).collect()}
+        assert got == disclosed(rows, support=support)
+        assert bool(got[1]) == (support == 1) and bool(got[2]) == (support < 3)
+
+
 def test_query_counts_and_marks_whole_documents(spark, tmp_path, monkeypatch):
     from dirlens.llm import pii, queries
 
@@ -94,8 +103,12 @@ def test_query_counts_and_marks_whole_documents(spark, tmp_path, monkeypatch):
     assert {f for spans in expected.values() for *_, f in spans} == {"removed", "generalised"}
     for frequent in (1 << 16, 8):
         monkeypatch.setattr(pii, "FREQUENT", frequent)
-        got = found(spark.read.parquet(f"{tmp_path}/documents.parquet"), window=None).collect()
+        got = found(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
         assert {r.doc_id: [(s.first, s.last, s.hit) for s in r.spans if s.kind == "term"] for r in got} == expected
     # in the header, far from the entity: the word has a span in the query's rows
-    spans = {r.doc_id: r.spans for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    lines = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_generalised) for r in lines} == {
+        i: tuple(sum(f == fate for *_, f in spans) for fate in ("removed", "generalised")) for i, spans in expected.items()
+    }
+    spans = {r.doc_id: r.spans for r in lines}
     assert all("term:0:5" in spans[i] for i in range(9)), spans[8]

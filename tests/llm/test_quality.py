@@ -64,3 +64,19 @@ def test_odd_documents(spark, odd, none):
 
 def test_one_kind_of_labels():
     assert fit(np.zeros((3, len(FEATURES))), np.array([2, 1]), np.array([1, 1])).constant == 1.0
+
+
+def test_only_the_sample_comes_to_the_driver(spark, docs, monkeypatch):
+    """Documents are taken by their numbers of lines; many texts under one id are bounded as well."""
+    from dirlens.llm import quality
+
+    rows = [(i % 4, "\n".join(f"line {j} of {i}, as good as any." for j in range(i % 6 + 1))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    sizes = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda features, lines, marks: sizes.append(lines.tolist()) or plain(features, lines, marks))
+    for most in (10, 10_000):
+        monkeypatch.setattr(quality, "SAMPLE_LINES", most)
+        model = quality.learn(docs(*rows), labels)
+        assert sum(sizes[-1]) <= most and len(sizes[-1]) > 1
+        assert quality.score(docs(*rows), model).count() == 60

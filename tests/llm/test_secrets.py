@@ -50,3 +50,13 @@ def test_every_match_satisfies_its_query(block, pattern):
     index.build([t.encode() for t in block])
     hits = {i for i, t in enumerate(block) if re.search(pattern, t)}
     assert hits <= set(index.matching(query).tolist())
+
+
+def test_letters_beyond_ascii_in_a_rule(docs):
+    """The index has bytes: a trigram with another letter asks for nothing, and no match is lost."""
+    from dirlens.llm.secrets import Rule
+
+    rules = (Rule("key", r"clé_[0-9]{3,}"), Rule("either", r"(?:schlüssel|geheim)=[a-z]+"))
+    rows = [(1, "la clé_12345 ici"), (2, "cle_12345"), (3, "schlüssel=abc geheim=x"), (4, None)]
+    got = {r.doc_id: [(s.kind, s.first, s.last) for s in r.spans] for r in find(docs(*rows), rules).collect()}
+    assert got == {1: [("key", 3, 12)], 2: [], 3: [("either", 0, 13), ("either", 14, 22)], 4: []}
