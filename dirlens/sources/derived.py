@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirlens.schema import DATASET_A, DATASET_B, NPI_SYSTEM_A, NPI_SYSTEM_B, SPECIALTY_SYSTEM, SSN_SYSTEM
-from dirlens.sources.partitions import spread
+from dirlens.sources.partitions import bounded
 
 BASE = "http://dir.example.org/fhir/"
 EXAMPLE = "http://directory.example.org"
@@ -34,7 +34,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows become one document each."""
-    return spread(_table(spark, sf_dir, name))
+    return bounded(_table(spark, sf_dir, name))
 
 
 def _ref(kind: str, name: str) -> str:

@@ -11,7 +11,9 @@ from dirlens.plans.directory import Directory, from_documents, from_test_tables
 from dirlens.plans.features import features
 from dirlens.plans.reports import REPORTS
 from dirlens.schema import RESOURCES
+from dirlens.sources import derived as sources
 from dirlens.sources.derived import documents
+from dirlens.sources.partitions import ROWS, bounded
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "PythonUDF", "BatchEvalPython", "ArrowEvalPython")
@@ -198,3 +200,26 @@ def test_reference_lists_of_skewed_targets(spark):
     locations = spark.createDataFrame([("dataset-a", "hot")], "source_dataset string, fhir_id string")
     got = resolve_reference_lists(links, "has", "refs", locations).first()
     assert (got.total, got.resolved, got.n_references, got.resolved_references) == (3000, 1000, 3000, 1000)
+
+
+def per_task(df):
+    """Rows of every partition that has some."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_are_dealt_out_evenly_whatever_their_keys(spark, tmp_path):
+    """One file split; half of the rows are equal and a quarter has no key."""
+    key = F.when(F.col("id") % 2 == 0, F.lit(0)).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.col("id"))
+    spark.range(0, 20_000, 1, 1).select(key.cast("long").alias("k")).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    dealt = bounded(scan, 1000)
+    assert dealt.columns == ["k"] and dealt.rdd.getNumPartitions() == 20
+    sizes = per_task(dealt)
+    assert max(sizes) < 1500 and sum(sizes) == 20_000
+    assert dealt.exceptAll(scan).isEmpty() and scan.exceptAll(dealt).isEmpty()
+
+
+def test_larger_tables_have_more_tasks_not_larger_ones(spark, tmp_path):
+    """Nine times ROWS rows of a few bytes, read by one task, on eight cores."""
+    spark.range(0, 9 * ROWS, 1, 1).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert max(per_task(sources._rows(spark, str(tmp_path), "orders"))) < 1.1 * ROWS
