@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirlens.schema import DATASET_A, DATASET_B, NPI_SYSTEM_A, NPI_SYSTEM_B, SPECIALTY_SYSTEM, SSN_SYSTEM
-from dirlens.sources.partitions import bounded
+from dirlens.sources.partitions import bounded, tasks
+
+#: Rows of ``lineitem`` that one task folds to orders, several of them to one document.
+LINES = 200_000
 
 BASE = "http://dir.example.org/fhir/"
 EXAMPLE = "http://directory.example.org"
@@ -226,9 +229,12 @@ def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _organization_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    # The lines of an order meet in tasks of a fixed size, which also render its document.
     per_order = (
-        _table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("k"))
+        lines.select(F.col("l_orderkey").alias("k"), "l_suppkey", "l_returnflag")
+        .repartition(tasks(lines, LINES), "k")
+        .groupBy("k")
         .agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"))
     )
     return _render(

@@ -223,3 +223,12 @@ def test_larger_tables_have_more_tasks_not_larger_ones(spark, tmp_path):
     """Nine times ROWS rows of a few bytes, read by one task, on eight cores."""
     spark.range(0, 9 * ROWS, 1, 1).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert max(per_task(sources._rows(spark, str(tmp_path), "orders"))) < 1.1 * ROWS
+
+
+def test_orders_are_folded_in_tasks_of_a_fixed_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "LINES", 500)
+    lines = spark.range(0, 20_000, 1, 1).selectExpr("id div 4 as l_orderkey", "id % 9 as l_suppkey", "if(id % 3 = 0, 'A', 'N') as l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = sources.raw_documents(spark, str(tmp_path), "organization_affiliations").filter("source_dataset = 'dataset-a'")
+    sizes = per_task(made)
+    assert sum(sizes) == 5000 and len(sizes) == 40 and max(sizes) < 250
