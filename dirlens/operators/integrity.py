@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from dirlens.functions.measures import percent, rows
 from dirlens.functions.references import reference_format, reference_host, reference_id
-from dirlens.operators.skew import exists_flag
+from dirlens.operators.skew import ROWS, exists_flag
+from dirlens.sources.partitions import tasks
 
 DATASET = "source_dataset"
 KEY = [DATASET, "target_id"]
@@ -89,7 +90,8 @@ def resolve_reference_lists(
     """Resolution of a multi-valued reference field.
 
     A row counts as resolved when at least one of its references does; the single references
-    are counted as well. Rows without references travel along with a NULL target.
+    are counted as well. Rows without references travel along with a NULL target. The links of a row meet again in as many
+    tasks as its table needs.
     """
     links = source.select(
         DATASET, "fhir_id", present, F.posexplode_outer(references).alias("position", "reference")
@@ -103,6 +105,7 @@ def resolve_reference_lists(
     documents = target.select(DATASET, F.col("fhir_id").alias("target_id"))
     per_row = (
         exists_flag(links, documents, on=KEY, spread_by="fhir_id", flag="found")
+        .repartition(tasks(source, ROWS), DATASET, "fhir_id")
         .groupBy(DATASET, "fhir_id")
         .agg(
             F.bool_or("present").alias("present"),

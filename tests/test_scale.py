@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from dirlens.operators import skew
 from dirlens.operators.integrity import resolve_reference_lists
 from dirlens.operators.skew import exists_flag
 from dirlens.plans.directory import Directory, from_documents, from_test_tables
@@ -232,3 +233,11 @@ def test_orders_are_folded_in_tasks_of_a_fixed_size(spark, tmp_path, monkeypatch
     made = sources.raw_documents(spark, str(tmp_path), "organization_affiliations").filter("source_dataset = 'dataset-a'")
     sizes = per_task(made)
     assert sum(sizes) == 5000 and len(sizes) == 40 and max(sizes) < 250
+
+
+def test_link_tasks_keep_their_size(spark, without_broadcast, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS", 2000)
+    targets = spark.range(0, 60000, 2).select(F.concat(F.lit("t"), F.col("id")).alias("target"))
+    flagged = exists_flag(hot_links(spark), targets, ["target"], "row", "found")
+    sizes = per_task(flagged)
+    assert sum(sizes) == 60000 and len(sizes) == 30 and max(sizes) < 6000
