@@ -6,9 +6,10 @@ occurs, from the left. An id is its rank; within the fold it is one character, s
 more than ``SHORT`` bytes is folded over arrays instead: the state keeps the ranks of its pairs, a step merges one pair and looks up only the
 two that this makes anew.
 
-Distinct words are folded, not occurrences. Words are counted over all texts; the ``DICTIONARY`` most frequent ones at
-most are folded once and sent to all tasks. A task looks words up; what it misses is folded as the distinct words of a
-block of texts. So no text is shuffled, the dictionary has a fixed bound, and no word is left out.
+Distinct words are folded, not occurrences. Texts are cut once, into blocks that are written: the distinct words of a few
+texts, and the texts as numbers of these. The ``DICTIONARY`` words of most blocks are folded once and sent to all tasks, as one
+string array and one array of ids; a block's other words are folded in the block. All that is done per occurrence is one
+gather by number. So no text is shuffled, the dictionary has a fixed bound, and no word is left out.
 
 Decoding concatenates the bytes of the ids.
 
@@ -19,11 +20,12 @@ are not looked at. The ranks must contain all single bytes.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,17 +34,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from dirlens.llm import pretokens
-from dirlens.llm.common import texts, written
+from dirlens.llm.common import setting, texts, written
 
 #: The dictionary's most words, and the longest word (in code points) that it may hold.
 DICTIONARY = 500_000
 _LONGEST = 40
 #: Bytes of the longest word whose pairs are all looked up in every step.
 SHORT = 256
-#: Words that a task counts before it sends their counts on.
-_COUNTED = 400_000
-#: Bytes of ids in a block.
+#: A block ends with the text that brings it to so many bytes, at four a word.
 BLOCK_CHARS = 2 << 20
+#: Texts that a task is sent at a time.
+_BATCH = "1000"
 _BUCKETS = 1 << 16
 _SEED = 42
 
@@ -138,7 +140,7 @@ class Ranks:
     def _step(self, ids: Column) -> Column:
         """The pair of the lowest rank, the first such one, merged wherever it occurs, from the left."""
         pair = lambda i: F.substring(ids, i, F.lit(2))
-        rank = lambda i: _rank(pair(i), F.col("ranks"))
+        rank = lambda p: _rank(p, F.col("ranks"))
 
         def merge(found: Column, best: Column) -> Column:
             at = F.array_position(found, best).cast("int")
@@ -150,7 +152,7 @@ class Ranks:
 
         end = F.struct(ids.alias("ids"), F.lit(True).alias("done"))
         places = F.sequence(F.lit(1), F.length(ids) - 1)
-        merged = let(F.transform(places, rank), lambda found: let(
+        merged = let(F.transform(F.transform(places, pair), rank), lambda found: let(
             F.array_min(found), lambda best: F.when(best.isNull(), end).otherwise(merge(found, best))
         ))
         return F.when(F.length(ids) < 2, end).otherwise(merged)
@@ -191,29 +193,43 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def word_counts(cut: DataFrame, pattern: str) -> DataFrame:
-    """(w, n): how often each word of at most ``_LONGEST`` code points occurs."""
+def numbered(cut: DataFrame, pattern: str) -> DataFrame:
+    """Blocks of texts: (doc_ids, sizes, words, numbers), with ``sizes`` numbers of words for each text.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+    A number takes two bytes in a block of few words, else four.
+    """
 
-        def rows() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in counts.items() if len(w) <= _LONGEST]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["w", "n"])
+    def block(docs: list, sizes: list[int], numbers: list[int], words: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.string())),
+            pa.array([np.array(numbers, "<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
+        ], ["doc_ids", "sizes", "words", "numbers"])
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, sizes, numbers, known, following = [], [], [], {}, count()
         for batch in batches:
-            for words in pretokens.words(batch, pattern):
-                counts.update(words)
-                if len(counts) >= _COUNTED:
-                    yield rows()
-        yield rows()
+            for doc, words in zip(batch.column("doc_id").to_pylist(), pretokens.words(batch, pattern)):
+                known.update(zip(set(words).difference(known), following))
+                numbers += map(known.__getitem__, words)
+                sizes.append(len(words))
+                docs.append(doc)
+                if 4 * len(numbers) >= BLOCK_CHARS:
+                    yield block(docs, sizes, numbers, known)
+                    docs, sizes, numbers, known, following = [], [], [], {}, count()
+        if docs:
+            yield block(docs, sizes, numbers, known)
+
+    return cut.mapInArrow(number, "doc_ids array<long>, sizes array<long>, words array<string>, numbers binary")
+
 
-    return cut.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(w, n): how many blocks have each word of at most ``_LONGEST`` code points."""
+    words = blocks.select(F.explode("words").alias("w")).filter(F.char_length("w") <= _LONGEST)
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """All words from some count on, at most ``most`` of them; a word that occurs once is left to its block."""
+    """All words from some count on, at most ``most`` of them; a word of one block is left to it."""
     sizes = counts.filter("n > 1").groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("words"))
     total, least = 0, None
     for row in sorted(sizes.collect(), key=lambda r: -r["n"]):
@@ -224,89 +240,66 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
 
 
-def _little(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
-class _Lookup:
-    """Words to id bytes; a word that isn't known gets a negative number and is noted. The known words aren't copied."""
-
-    def __init__(self, known: dict[str, bytes]):
-        self.known = known
-        self.missing: dict[str, bytes] = {}
+def _sliced(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """All slices of the values behind each other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def ids(self, words: list[str]) -> bytes:
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = self.missing
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = words[i]
-                    if word not in missing:
-                        missing[word] = _little([-1 - len(missing)])
-                    found[i] = missing[word]
-        return b"".join(found)
 
-
-def _looked_up(cut: DataFrame, known, pattern: str) -> DataFrame:
-    """Blocks of texts: (doc_ids, sizes, ids, missing), with -1 - i in ids for the i-th missing word."""
-
-    def block(lookup: _Lookup, docs: list, parts: list[bytes]) -> pa.RecordBatch:
-        row = pa.RecordBatch.from_arrays([
-            pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
-            pa.array([b"".join(parts)], pa.binary()), pa.array([list(lookup.missing)], pa.list_(pa.string())),
-        ], ["doc_ids", "sizes", "ids", "missing"])
-        lookup.missing.clear()
-        return row
+def _looked_up(blocks: DataFrame, known) -> DataFrame:
+    """The blocks with (found, lengths, missing): the ids of the words that are known, how many each word has, -1 for the words in ``missing``."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(known.value)
-        docs, parts, size = [], [], 0
+        entries, starts, sizes, ids = known.value
         for batch in batches:
-            for doc, words in zip(batch.column("doc_id"), pretokens.words(batch, pattern)):
-                parts.append(lookup.ids(words))
-                docs.append(doc.as_py())
-                size += len(parts[-1])
-                if size >= BLOCK_CHARS:
-                    yield block(lookup, docs, parts)
-                    docs, parts, size = [], [], 0
-        if docs:
-            yield block(lookup, docs, parts)
-
-    return cut.mapInArrow(look_up, "doc_ids array<long>, sizes array<long>, ids binary, missing array<string>")
-
+            lists = batch.column("words")
+            every = pc.index_in(lists.flatten(), value_set=entries).fill_null(-1).to_numpy()
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+            for n in range(batch.num_rows):
+                words, at = lists[n].values, every[ends[n] : ends[n + 1]]
+                hit = at[at >= 0]
+                lengths = np.full(len(at), -1, "<i4")
+                lengths[at >= 0] = sizes[hit]
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).slice(n, 1) for c in ("doc_ids", "sizes", "numbers")), pa.array([_sliced(starts[hit], sizes[hit], ids).tobytes()], pa.binary()),
+                    pa.array([lengths.tobytes()], pa.binary()), pa.array([words.filter(pa.array(at < 0))], pa.list_(pa.string())),
+                ], ["doc_ids", "sizes", "numbers", "found", "lengths", "missing"])
 
-def filled(ids: np.ndarray, missing: list[np.ndarray]) -> np.ndarray:
-    """The ids with each negative number replaced by the ids of its word."""
-    at = np.flatnonzero(ids < 0)
-    if not len(at):
-        return ids
-    which = -1 - ids[at]
-    pieces, last = [], 0
-    for place, word in zip(at.tolist(), which.tolist()):
-        pieces += [ids[last:place], missing[word]]
-        last = place + 1
-    return np.concatenate([*pieces, ids[last:]])
+    return blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<long>, numbers binary, found binary, lengths binary, missing array<string>")
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_ids, sizes, ids, missing): blocks of documents for ``each_document``.
+    """(doc_ids, sizes, numbers, found, lengths, missing): blocks of documents for ``each_document``.
 
-    ``ids`` has little-endian 32-bit integers, ``sizes`` of them for each document; -1 - i stands for the ids of missing[i].
+    ``numbers`` has a word's number for each word of the documents, ``sizes`` of them each. ``lengths`` says how many ids a word has, or -1
+    for the next one in ``missing``, which are arrays of ids; the ids of the others are in ``found``, as little-endian 32-bit integers.
     """
     spark = docs.sparkSession
     ranks = Ranks(spark, path)
-    cut = pretokens.cut(texts(docs, id_col, text_col), pattern)
-    counts = written(word_counts(cut, pattern), "bpe-counts")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH):
+        blocks = written(numbered(pretokens.cut(texts(docs, id_col, text_col), pattern), pattern), "bpe-blocks", "zstd")
+    counts = written(word_counts(blocks), "bpe-counts")
     words = frequent(counts, DICTIONARY).select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
-    known: dict[str, bytes] = {}
-    for row in written(words, "bpe-words").toArrow().to_batches():
-        known.update(zip(row.column("w").to_pylist(), map(_little, row.column("ids").to_pylist())))
-    blocks = _looked_up(cut, spark.sparkContext.broadcast(known), pattern)
-    folded = blocks.select("doc_ids", "sizes", "ids", "missing", *ranks.constants()).select(
-        "doc_ids", "sizes", "ids", F.transform("missing", ranks.fold).alias("missing")
-    )
-    return folded
+    folded = written(words, "bpe-words").toArrow().combine_chunks()
+    entries, lists = (pa.concat_arrays(folded.column(c).chunks) if folded.num_rows else pa.array([], kind) for c, kind in (("w", pa.string()), ("ids", pa.list_(pa.int32()))))
+    sizes = lists.value_lengths().to_numpy()
+    known = spark.sparkContext.broadcast((entries, np.cumsum(sizes) - sizes, sizes, lists.flatten().to_numpy().astype("<i4")))
+    blocks = _looked_up(blocks, known)
+    return blocks.select("*", *ranks.constants()).select(*blocks.columns[:-1], F.transform("missing", ranks.fold).alias("missing"))
+
+
+def _block_ids(numbers: bytes, sizes: np.ndarray, found: np.ndarray, lengths: np.ndarray, missing: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block, and where each document's end."""
+    own = missing.value_lengths().to_numpy()
+    ids = np.concatenate([found, missing.flatten().to_numpy().astype("<i4")])
+    late, many = lengths < 0, lengths.astype("i8")
+    many[late] = own
+    starts = np.empty_like(many)
+    starts[~late] = np.cumsum(many[~late]) - many[~late]
+    starts[late] = len(found) + np.cumsum(own) - own
+    at = np.frombuffer(numbers, "<u2" if len(lengths) <= 1 << 16 else "<u4")
+    ends = np.concatenate([[0], np.cumsum(many[at])])[np.cumsum(sizes)]
+    return _sliced(starts[at], many[at], ids), ends
 
 
 def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
@@ -316,13 +309,11 @@ def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                lists = batch.column("missing")[n].values
-                flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-                missing = [flat[a:b] for a, b in zip(ends, ends[1:])]
-                ids = np.frombuffer(batch.column("ids")[n].as_buffer(), "<i4")
-                cuts = np.cumsum([0, *batch.column("sizes")[n].as_py()])
+                found, lengths = (np.frombuffer(batch.column(c)[n].as_buffer(), "<i4") for c in ("found", "lengths"))
+                sizes = batch.column("sizes")[n].values.to_numpy()
+                ids, ends = _block_ids(batch.column("numbers")[n].as_buffer(), sizes, found, lengths, batch.column("missing")[n].values)
                 docs = batch.column("doc_ids")[n].as_py()
-                out = [row(doc, filled(ids[a:b], missing)) for doc, a, b in zip(docs, cuts, cuts[1:])]
+                out = [row(doc, ids[a:b]) for doc, a, b in zip(docs, [0, *ends.tolist()], ends.tolist())]
                 yield pa.RecordBatch.from_pylist(out, pa_schema)
 
     return blocks.mapInArrow(rows, schema)

@@ -92,3 +92,16 @@ def test_a_small_dictionary_gives_the_same(docs, monkeypatch):
     whole = encoded(table)
     monkeypatch.setattr(bytebpe, "DICTIONARY", 1)
     assert encoded(table) == whole
+
+
+def test_texts_are_cut_once(docs):
+    """The blocks that are read for the result hold numbers of words; the pattern isn't applied to texts again."""
+    blocks = encode(docs((1, "some words"), (2, None)), FIRST)
+    plan = blocks._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "text" not in blocks.columns
+
+
+def test_a_block_of_many_words(docs):
+    """More words than two bytes can number."""
+    check, text = library(FIRST), " ".join(map(str, range(66_000)))
+    assert encoded(docs((1, "a"), (2, text))) == [(1, check.encode_ordinary("a")), (2, check.encode_ordinary(text))]
