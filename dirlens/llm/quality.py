@@ -34,6 +34,8 @@ BINS = 10
 STEPS = 250
 #: Documents are read in blocks of about as many characters.
 BLOCK_CHARS = 2 << 20
+#: Texts of a batch that are Python strings at a time.
+_SLICE = 500
 FEATURES = (
     "log length", "log words", "letters", "capitals", "digits", "symbols", "spaces", "letters a word", "symbols a word",
     "distinct words", "repeated words", "repeats a line", "ends a sentence", "starts with a capital",
@@ -180,8 +182,13 @@ def scores(model: Model, features: np.ndarray, sizes: np.ndarray, length: np.nda
     return np.clip(np.bincount(text, good * length, len(sizes)) / np.maximum(total, 1), 0, 1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield from (batch.slice(first, _SLICE) for first in range(0, batch.num_rows, _SLICE))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in _slices(batches):
         block = batch.column("text").to_pylist()
         first = size = 0
         for i, text in enumerate(block):
@@ -239,7 +246,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch, "text", kinds))], ["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(scored, "doc_id long, score double")
@@ -250,7 +257,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _kinds()
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array(_scores(model, batch, text_col, kinds) >= threshold))
 
     return docs.mapInArrow(filtered, docs.schema)

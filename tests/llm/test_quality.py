@@ -3,6 +3,7 @@
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
 from dirlens.llm import quality
 from dirlens.llm.common import table
@@ -80,3 +81,12 @@ def test_only_the_sample_comes_to_the_driver(spark, docs, monkeypatch):
         model = quality.learn(docs(*rows), labels)
         assert sum(sizes[-1]) <= most and len(sizes[-1]) > 1
         assert quality.score(docs(*rows), model).count() == 60
+
+
+def test_few_texts_are_strings_at_a_time():
+    """A batch of many short texts isn't unpacked as a whole."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2_300)), "text": [f"line {i}" for i in range(2_300)]})
+    blocks = list(quality._blocks(iter([batch])))
+    assert max(len(block) for _, block in blocks) <= 500
+    assert [t for _, block in blocks for t in block] == batch.column("text").to_pylist()
+    assert [d for part, _ in blocks for d in part.column("doc_id").to_pylist()] == list(range(2_300))
