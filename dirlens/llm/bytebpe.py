@@ -8,8 +8,9 @@ two that this makes anew.
 
 Distinct words are folded, not occurrences. Texts are cut once, into blocks that are written: the distinct words of a few
 texts, and the texts as numbers of these. The ``DICTIONARY`` words of most blocks are folded once and sent to all tasks, as one
-string array and one array of ids; a block's other words are folded in the block. All that is done per occurrence is one
-gather by number. So no text is shuffled, the dictionary has a fixed bound, and no word is left out.
+string array and one array of ids. A block's other words are merged side by side as arrays (``merged_ids``), those of more than
+``SHORT`` bytes by the fold. All that is done per occurrence is one gather by number. So no text is shuffled, the dictionary has a
+fixed bound, and no word is left out.
 
 Decoding concatenates the bytes of the ids.
 
@@ -47,6 +48,8 @@ BLOCK_CHARS = 2 << 20
 _BATCH = "1000"
 _BUCKETS = 1 << 16
 _SEED = 42
+#: No id: above all ids.
+_NONE = 1 << 31
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,17 +62,31 @@ def letter(token: int) -> str:
     return chr(token + 1 if token + 1 < 0xD800 else token + 0x801)
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[list[dict[str, str]], list[str]]:
-    """Pairs of ids that may merge -> the joined id, all as letters, in buckets by hash; and the ids of ``_one_by_one``."""
-    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+def pairs_of(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """Pairs of ids that may merge, and the joined id."""
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             if token[:i] in ranks and token[i:] in ranks:
-                pair = letter(ranks[token[:i]]) + letter(ranks[token[i:]])
-                buckets[xxhash.xxh64_intdigest(pair.encode(), _SEED) % _BUCKETS][pair] = letter(rank)
+                yield ranks[token[:i]], ranks[token[i:]], rank
+
+
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[dict[str, str]], list[str]]:
+    """Pairs of ids that may merge -> the joined id, all as letters, in buckets by hash; and the ids of ``_one_by_one``."""
+    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for left, right, joined in pairs_of(ranks):
+        pair = letter(left) + letter(right)
+        buckets[xxhash.xxh64_intdigest(pair.encode(), _SEED) % _BUCKETS][pair] = letter(joined)
     return buckets, [letter(rank) for token, rank in ranks.items() if _one_by_one(token, ranks)]
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs of ids that may merge, each as one number, the joined ids, and the id of each byte."""
+    found = np.array([*pairs_of(ranks), (_NONE - 1, _NONE - 1, _NONE)], "i8")
+    keys = found[:, 0] << 31 | found[:, 1]
+    order = np.argsort(keys)
+    return keys[order], found[order, 2], np.array([ranks[bytes([b])] for b in range(256)], "i8")
+
+
 def _one_by_one(token: bytes, ranks: dict[bytes, int]) -> bool:
     """Two different pairs that overlap make this token, so that merging one of them everywhere at once may differ."""
     cuts = {i for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks}
@@ -246,23 +263,64 @@ def _sliced(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def merged_ids(letters: np.ndarray, sizes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some words out of their bytes, behind each other, and how many each word has.
+
+    A step merges the first pair of the lowest rank in each word that has one, and looks up only the two pairs that this makes anew.
+    """
+    keys, joined, single = pairs
+
+    def rank(left: np.ndarray) -> np.ndarray:
+        """What the ids at some places merge to with the next ones; ``_NONE`` at the end of a word."""
+        right = np.minimum(left + 1, len(ids) - 1)
+        pair = ids[left] << 31 | ids[right]
+        at = np.searchsorted(keys, pair)
+        return np.where((keys[at] == pair) & (word[left] == word[right]) & (left < right), joined[at], _NONE)
+
+    ids, word = single[letters], np.repeat(np.arange(len(sizes)), sizes)
+    ranks, whole = rank(np.arange(len(ids))), []
+    while len(ids):
+        best = np.minimum.reduceat(ranks, np.cumsum(sizes) - sizes)
+        least = np.repeat(best, sizes)
+        going = least < _NONE
+        whole.append((word[~going], ids[~going]))
+        at = np.flatnonzero(going & (ranks == least))
+        at = at[np.diff(word[at], prepend=-1) > 0]
+        ids[at] = ranks[at]
+        kept = going.copy()
+        kept[at + 1] = False
+        ids, word, ranks, at = ids[kept], word[kept], ranks[kept], np.cumsum(kept)[at] - 1
+        sizes = sizes[best < _NONE] - 1
+        ranks[at] = rank(at)
+        before = at[at > 0] - 1
+        ranks[before] = rank(before)
+    word, ids = (np.concatenate(x) if x else np.zeros(0, "i8") for x in zip(*whole)) if whole else (word, ids)
+    return ids[np.argsort(word, kind="stable")].astype("<i4"), np.bincount(word)
+
+
 def _looked_up(blocks: DataFrame, known) -> DataFrame:
-    """The blocks with (found, lengths, missing): the ids of the words that are known, how many each word has, -1 for the words in ``missing``."""
+    """The blocks with (found, lengths, missing): the ids of all words but those in ``missing``, how many each word has, -1 for these."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, starts, sizes, ids = known.value
+        entries, starts, sizes, ids, pairs = known.value
         for batch in batches:
             lists = batch.column("words")
             every = pc.index_in(lists.flatten(), value_set=entries).fill_null(-1).to_numpy()
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             for n in range(batch.num_rows):
                 words, at = lists[n].values, every[ends[n] : ends[n + 1]]
-                hit = at[at >= 0]
-                lengths = np.full(len(at), -1, "<i4")
-                lengths[at >= 0] = sizes[hit]
+                hit, long = at >= 0, pc.binary_length(words).to_numpy() > SHORT
+                own, late = ~hit & ~long, ~hit & long
+                text = words.filter(pa.array(own))
+                many = pc.binary_length(text).to_numpy()
+                merged, many = merged_ids(np.frombuffer("".join(text.to_pylist()).encode(), "u1"), many, pairs)
+                first, lengths = np.zeros(len(at), "i8"), np.full(len(at), -1, "<i4")
+                first[hit], lengths[hit] = starts[at[hit]], sizes[at[hit]]
+                first[own], lengths[own] = len(ids) + np.cumsum(many) - many, many
+                found = _sliced(first[~late], lengths[~late], np.concatenate([ids, merged]))
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c).slice(n, 1) for c in ("doc_ids", "sizes", "numbers")), pa.array([_sliced(starts[hit], sizes[hit], ids).tobytes()], pa.binary()),
-                    pa.array([lengths.tobytes()], pa.binary()), pa.array([words.filter(pa.array(at < 0))], pa.list_(pa.string())),
+                    *(batch.column(c).slice(n, 1) for c in ("doc_ids", "sizes", "numbers")), pa.array([found.tobytes()], pa.binary()),
+                    pa.array([lengths.tobytes()], pa.binary()), pa.array([words.filter(pa.array(late))], pa.list_(pa.string())),
                 ], ["doc_ids", "sizes", "numbers", "found", "lengths", "missing"])
 
     return blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<long>, numbers binary, found binary, lengths binary, missing array<string>")
@@ -282,8 +340,11 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     words = frequent(counts, DICTIONARY).select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
     folded = written(words, "bpe-words").toArrow().combine_chunks()
     entries, lists = (pa.concat_arrays(folded.column(c).chunks) if folded.num_rows else pa.array([], kind) for c, kind in (("w", pa.string()), ("ids", pa.list_(pa.int32()))))
-    sizes = lists.value_lengths().to_numpy()
-    known = spark.sparkContext.broadcast((entries, np.cumsum(sizes) - sizes, sizes, lists.flatten().to_numpy().astype("<i4")))
+    # tokens that no merges lead to are taken as they are, in every block
+    entries = pa.concat_arrays([entries, pa.array(ranks.whole, pa.string())])
+    sizes = np.concatenate([lists.value_lengths().to_numpy(), np.ones(len(ranks.whole), "i4")])
+    ids = np.concatenate([lists.flatten().to_numpy(), list(ranks.whole.values())]).astype("<i4")
+    known = spark.sparkContext.broadcast((entries, np.cumsum(sizes) - sizes, sizes, ids, pair_table(ranks.ranks)))
     blocks = _looked_up(blocks, known)
     return blocks.select("*", *ranks.constants()).select(*blocks.columns[:-1], F.transform("missing", ranks.fold).alias("missing"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -105,3 +106,36 @@ def test_a_block_of_many_words(docs):
     """More words than two bytes can number."""
     check, text = library(FIRST), " ".join(map(str, range(66_000)))
     assert encoded(docs((1, "a"), (2, text))) == [(1, check.encode_ordinary("a")), (2, check.encode_ordinary(text))]
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_words_merged_side_by_side_equal_the_library(path):
+    rng = random.Random(12)
+    words = ["".join(rng.choice(rng.choice(("aeinrst", "the ing", "=-", "日本語é𝒳", "aba", "ABC012"))) for _ in range(rng.randint(1, 30))) for _ in range(2_000)]
+    words += ["=" * 250, "a", "aba" * 60, "\n" * 200]
+    ranks = read_ranks(path)
+    check = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    raw = [w.encode() for w in words]
+    ids, sizes = bytebpe.merged_ids(np.frombuffer(b"".join(raw), "u1"), np.array(list(map(len, raw))), bytebpe.pair_table(ranks))
+    ends = np.cumsum(sizes).tolist()
+    assert [w for w, a, b in zip(words, [0, *ends], ends) if ids[a:b].tolist() != check.encode_ordinary(w)] == []
+    assert [len(x) for x in bytebpe.merged_ids(np.zeros(0, "u1"), np.zeros(0, "i4"), bytebpe.pair_table(ranks))] == [0, 0]
+
+
+def test_only_long_words_are_left_to_the_fold(docs):
+    """Words of one block are in no dictionary; the fold of a row at a time has those of more than SHORT bytes only."""
+    table = docs((1, "some words of one block, " + "x" * 300), (2, "others qzvkj"))
+    blocks = encode(table, FIRST).collect()
+    missing = [ids for b in blocks for ids in b.missing]
+    assert missing == [library(FIRST).encode_ordinary(" " + "x" * 300)]
+
+
+def test_texts_of_tokens_that_no_merges_lead_to(docs, tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"xyz"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    check = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(str(path)), special_tokens={})
+    texts = {1: "xyz", 2: "abc xyz", 3: "xyza\nxyz"}
+    assert encoded(docs(*texts.items()), str(path)) == [(i, check.encode_ordinary(t)) for i, t in texts.items()]
