@@ -46,7 +46,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def row(doc_id, ids) -> dict:
         return {"doc_id": doc_id, "n_tokens": len(ids), "ids": ids, "decoded_sha256": sha256(decode(ids)).hexdigest()}
 
-    return bytebpe.each_document(bytebpe.encode(docs, path), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", row)
+    return bytebpe.documents(docs, path, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", row)
 
 
 STAGES = [

@@ -9,7 +9,7 @@ two that this makes anew.
 Distinct words are folded, not occurrences. Texts are cut once, into blocks that are written: the distinct words of a few
 texts, and the texts as numbers of these. The ``DICTIONARY`` words of most blocks are folded once and sent to all tasks, as one
 string array and one array of ids. A block's other words are merged side by side as arrays (``merged_ids``), those of more than
-``SHORT`` bytes by the fold. All that is done per occurrence is one gather by number. So no text is shuffled, the dictionary has a
+``SHORT`` bytes by the fold, before the block goes to Python. All that is done per occurrence is one gather by number. So no text is shuffled, the dictionary has a
 fixed bound, and no word is left out.
 
 Decoding concatenates the bytes of the ids.
@@ -50,6 +50,7 @@ _BUCKETS = 1 << 16
 _SEED = 42
 #: No id: above all ids.
 _NONE = 1 << 31
+_ENCODED = "doc_ids array<long>, sizes array<long>, numbers binary, found binary, lengths binary, missing array<array<int>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -298,8 +299,8 @@ def merged_ids(letters: np.ndarray, sizes: np.ndarray, pairs: tuple[np.ndarray,
     return ids[np.argsort(word, kind="stable")].astype("<i4"), np.bincount(word)
 
 
-def _looked_up(blocks: DataFrame, known) -> DataFrame:
-    """The blocks with (found, lengths, missing): the ids of all words but those in ``missing``, how many each word has, -1 for these."""
+def _look_up(known):
+    """Blocks with (found, lengths): the ids of all words of at most ``SHORT`` bytes, and how many each word has, -1 for the others."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, starts, sizes, ids, pairs = known.value
@@ -309,8 +310,8 @@ def _looked_up(blocks: DataFrame, known) -> DataFrame:
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             for n in range(batch.num_rows):
                 words, at = lists[n].values, every[ends[n] : ends[n + 1]]
-                hit, long = at >= 0, pc.binary_length(words).to_numpy() > SHORT
-                own, late = ~hit & ~long, ~hit & long
+                late = pc.binary_length(words).to_numpy() > SHORT
+                hit, own = (at >= 0) & ~late, (at < 0) & ~late
                 text = words.filter(pa.array(own))
                 many = pc.binary_length(text).to_numpy()
                 merged, many = merged_ids(np.frombuffer("".join(text.to_pylist()).encode(), "u1"), many, pairs)
@@ -320,18 +321,14 @@ def _looked_up(blocks: DataFrame, known) -> DataFrame:
                 found = _sliced(first[~late], lengths[~late], np.concatenate([ids, merged]))
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(n, 1) for c in ("doc_ids", "sizes", "numbers")), pa.array([found.tobytes()], pa.binary()),
-                    pa.array([lengths.tobytes()], pa.binary()), pa.array([words.filter(pa.array(late))], pa.list_(pa.string())),
+                    pa.array([lengths.tobytes()], pa.binary()), batch.column("missing").slice(n, 1),
                 ], ["doc_ids", "sizes", "numbers", "found", "lengths", "missing"])
 
-    return blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<long>, numbers binary, found binary, lengths binary, missing array<string>")
+    return look_up
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_ids, sizes, numbers, found, lengths, missing): blocks of documents for ``each_document``.
-
-    ``numbers`` has a word's number for each word of the documents, ``sizes`` of them each. ``lengths`` says how many ids a word has, or -1
-    for the next one in ``missing``, which are arrays of ids; the ids of the others are in ``found``, as little-endian 32-bit integers.
-    """
+def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str):
+    """Blocks of numbered words with the ids of those above ``SHORT`` bytes as ``missing``, and what ``_look_up`` needs for the others."""
     spark = docs.sparkSession
     ranks = Ranks(spark, path)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH):
@@ -345,8 +342,18 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     sizes = np.concatenate([lists.value_lengths().to_numpy(), np.ones(len(ranks.whole), "i4")])
     ids = np.concatenate([lists.flatten().to_numpy(), list(ranks.whole.values())]).astype("<i4")
     known = spark.sparkContext.broadcast((entries, np.cumsum(sizes) - sizes, sizes, ids, pair_table(ranks.ranks)))
-    blocks = _looked_up(blocks, known)
-    return blocks.select("*", *ranks.constants()).select(*blocks.columns[:-1], F.transform("missing", ranks.fold).alias("missing"))
+    late = F.filter("words", lambda w: F.octet_length(w) > SHORT)
+    return blocks.select("*", *ranks.constants()).select(*blocks.columns, F.transform(late, ranks.fold).alias("missing")), known
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_ids, sizes, numbers, found, lengths, missing): blocks of documents for ``each_document``.
+
+    ``numbers`` has a word's number for each word of the documents, ``sizes`` of them each. ``lengths`` says how many ids a word has, or -1
+    for the next one in ``missing``, which are arrays of ids; the ids of the others are in ``found``, as little-endian 32-bit integers.
+    """
+    blocks, known = _prepared(docs, path, pattern, id_col, text_col)
+    return blocks.mapInArrow(_look_up(known), _ENCODED)
 
 
 def _block_ids(numbers: bytes, sizes: np.ndarray, found: np.ndarray, lengths: np.ndarray, missing: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,8 +370,7 @@ def _block_ids(numbers: bytes, sizes: np.ndarray, found: np.ndarray, lengths: np
     return _sliced(starts[at], many[at], ids), ends
 
 
-def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
-    """A row per document of the blocks: ``row(doc_id, ids)`` gives its values in the order of the schema."""
+def _rows(schema: str, row):
     pa_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +383,19 @@ def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
                 out = [row(doc, ids[a:b]) for doc, a, b in zip(docs, [0, *ends.tolist()], ends.tolist())]
                 yield pa.RecordBatch.from_pylist(out, pa_schema)
 
-    return blocks.mapInArrow(rows, schema)
+    return rows
+
+
+def each_document(blocks: DataFrame, schema: str, row) -> DataFrame:
+    """A row per document of the blocks: ``row(doc_id, ids)`` gives its values in the order of the schema."""
+    return blocks.mapInArrow(_rows(schema, row), schema)
+
+
+def documents(docs: DataFrame, path: str, schema: str, row, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``each_document`` of ``encode``, in one pass: a task needs one Python worker, not one for the ids and one for the rows."""
+    blocks, known = _prepared(docs, path, pattern, id_col, text_col)
+    look_up, rows = _look_up(known), _rows(schema, row)
+    return blocks.mapInArrow(lambda batches: rows(look_up(batches)), schema)
 
 
 def decoder(path: str):

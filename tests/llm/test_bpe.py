@@ -139,3 +139,12 @@ def test_texts_of_tokens_that_no_merges_lead_to(docs, tmp_path):
     check = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(str(path)), special_tokens={})
     texts = {1: "xyz", 2: "abc xyz", 3: "xyza\nxyz"}
     assert encoded(docs(*texts.items()), str(path)) == [(i, check.encode_ordinary(t)) for i, t in texts.items()]
+
+
+def test_rows_need_one_python_worker_a_task(docs):
+    """Ids are looked up and rows are made in one pass; the rows are those of the two passes."""
+    table = docs((1, "some words, " + "x" * 300), (2, None), (3, "some other words " + "=" * 301))
+    row = lambda doc, ids: {"doc_id": doc, "ids": ids.tolist()}
+    found = bytebpe.documents(table, FIRST, "doc_id long, ids array<int>", row)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, list(r.ids)) for r in found.collect()) == encoded(table) == [(r.doc_id, library(FIRST).encode_ordinary(r.text or "")) for r in table.collect()]
