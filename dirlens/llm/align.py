@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from dirlens.llm.common import texts, written
+from dirlens.llm.common import setting, texts, written
 
 #: Code points of a text, and of a piece of a longer one, that a task takes at a time.
 PIECE = 1 << 16
@@ -54,7 +54,9 @@ FREQUENT = 1 << 20
 #: New words that are tokenized at a time.
 _JOINED = 256
 #: Links whose pairs a task counts at a time.
-_COUNTED = 1 << 22
+_COUNTED = 1 << 20
+#: Texts or pieces that a task is sent at a time.
+_BATCH = 200
 
 #: A space that both tokenizers treat as the beginning of a word: alone, and before something that isn't white space.
 _SPACE = re.compile(r"(?<=[^ ]) (?=\S)")
@@ -299,8 +301,8 @@ def _short(path_a: str, path_b: str):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, known = _pair(path_a, path_b), _words(path_a, path_b)
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                some = batch.slice(first, 200)
+            for first in range(0, batch.num_rows, _BATCH):
+                some = batch.slice(first, _BATCH)
                 ids, spans = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
                 cut = [split(s) if s else [] for s in spans]
                 known.want(set().union(*cut))
@@ -394,14 +396,26 @@ def documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     short = rows.filter(~long).mapInArrow(_short(path_a, path_b), _DOC)
     many = rows.withColumn("uid", F.monotonically_increasing_id()).filter(long).select("uid", "doc_id", "text")
     many = many.mapInArrow(_pieces(piece), "uid long, doc_id long, piece int, start long, text string").repartition("uid", "piece")
-    parts = written(many.mapInArrow(_fragments(path_a, path_b, size), _PART), "align-fragments")
-    top = parts.agg(F.max("range")).first()[0]
-    level = top + 1 if top is not None else 0
-    while level:
-        parts = parts.withColumn("to", F.floor(F.col("range") / FAN)).repartition("uid", "to").sortWithinPartitions("uid", "range", "piece")
-        parts = parts.withColumn("range", F.col("to")).drop("to").mapInArrow(_composed(pair_code), _PART)
-        level = 0 if level <= FAN else -(-level // FAN)
-    return written(short.unionByName(parts.mapInArrow(_finished(pair_code), _DOC)), "align-documents")
+    finish = _finished(pair_code)
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH)):
+        parts = written(many.mapInArrow(_fragments(path_a, path_b, size), _PART), "align-fragments")
+        top = parts.agg(F.max("range")).first()[0]
+        level = top + 1 if top is not None else 0
+        while level > FAN:
+            parts = _by_range(parts).mapInArrow(_composed(pair_code), _PART)
+            level = -(-level // FAN)
+        if level:  # the last level and the documents in one pass, so that a task needs one Python worker
+            compose_last = _composed(pair_code)
+            parts = _by_range(parts).mapInArrow(lambda batches: finish(compose_last(batches)), _DOC)
+        else:
+            parts = parts.mapInArrow(finish, _DOC)
+        return written(short.unionByName(parts), "align-documents")
+
+
+def _by_range(parts: DataFrame) -> DataFrame:
+    """The fragments of ``FAN`` neighbouring ranges together and in order, numbered as the range that they make."""
+    parts = parts.withColumn("to", F.floor(F.col("range") / FAN)).repartition("uid", "to").sortWithinPartitions("uid", "range", "piece")
+    return parts.withColumn("range", F.col("to")).drop("to")
 
 
 def _counts(code: str):

@@ -111,3 +111,17 @@ def test_registered_query_and_empty_table(spark, tmp_path, docs, none, pair):
     assert rows.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, rows.collect()), key=str) == expected(pair, enumerate(TEXTS))
     assert align.alignment(none, A, B).collect() == []
+
+
+def test_a_task_needs_one_python_worker(spark, docs, monkeypatch):
+    """The last composition makes the documents, in batches of few texts."""
+    plans, write = {}, align.written
+
+    def seen(df, purpose, *more):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return write(df, purpose, *more)
+
+    monkeypatch.setattr(align, "written", seen)
+    rows = [(1, "short"), (2, "a longer text " * 20)]
+    assert {r.doc_id for r in align.documents(docs(*rows), A, B, piece=100, size=100).collect()} == {1, 2}
+    assert plans["align-documents"] == (2, str(align._BATCH))  # texts of one row, and fragments
