@@ -36,6 +36,8 @@ STEPS = 250
 BLOCK_CHARS = 2 << 20
 #: Texts of a batch that are Python strings at a time.
 _SLICE = 500
+#: Lines whose weights are looked up at a time.
+_LINES = 1 << 13
 FEATURES = (
     "log length", "log words", "letters", "capitals", "digits", "symbols", "spaces", "letters a word", "symbols a word",
     "distinct words", "repeated words", "repeats a line", "ends a sentence", "starts with a capital",
@@ -97,20 +99,25 @@ class Model:
     constant: float | None = None
 
     def bins(self, features: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x, "right") for e, x in zip(self.edges, features.T)])
+        return np.column_stack([np.searchsorted(e, x, "right").astype("u1") for e, x in zip(self.edges, features.T)])
 
 
 def _placed(bins: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    """Flat weight numbers of every line: its own bins and those of its neighbours within the text."""
-    n, f = bins.shape
+    """The bins of every line and those of its neighbours within the text, a byte each."""
+    n = len(bins)
     ends = np.cumsum(sizes[sizes > 0])
     before, after = np.full_like(bins, width - 1), np.full_like(bins, width - 1)
     if n:
         before[1:], after[:-1] = bins[:-1], bins[1:]
         before[np.concatenate([[0], ends[:-1]])] = width - 1
         after[ends - 1] = width - 1
-    base = np.arange(f) * width
-    return np.hstack([bins + base, before + base + f * width, after + base + 2 * f * width])
+    return np.hstack([bins, before, after])
+
+
+def _unary(weights: np.ndarray, placed: np.ndarray, width: int) -> np.ndarray:
+    """The sum of every line's weights, a bounded number of lines at a time."""
+    base = np.arange(placed.shape[1]) * width
+    return np.concatenate([np.zeros(0), *(weights[placed[i : i + _LINES] + base].sum(1) for i in range(0, len(placed), _LINES))])
 
 
 def marginals(unary: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -155,16 +162,16 @@ def fit(features: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int
         model.constant = float(known.mean()) if len(known) else 0.5
         return model
     at = _placed(model.bins(features), sizes, width)
-    flat, truth = at.ravel(), np.repeat(labels, sizes).astype("f8")
+    columns, truth = np.ascontiguousarray(at.T), np.repeat(labels, sizes).astype("f8")
     inner = np.repeat(labels, np.maximum(sizes - 1, 0) * (sizes > 0))
     seen = np.diag([float((inner == 0).sum()), float((inner == 1).sum())])
     theta = np.zeros(len(model.weights) + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         model.weights, model.pairs = theta[:-4], theta[-4:].reshape(2, 2)
-        good, expected, _ = marginals(model.weights[at].sum(1), model.pairs, sizes)
-        wrong = np.repeat(good - truth, at.shape[1])
-        grad = np.concatenate([np.bincount(flat, wrong, len(model.weights)), (expected - seen).ravel()]) / len(features) + decay * np.concatenate([theta[:-4], np.zeros(4)])
+        good, expected, _ = marginals(_unary(model.weights, at, width), model.pairs, sizes)
+        wrong = good - truth
+        grad = np.concatenate([*(np.bincount(column, wrong, width) for column in columns), (expected - seen).ravel()]) / len(features) + decay * np.concatenate([theta[:-4], np.zeros(4)])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         theta = theta - 0.1 * (1 - step / (steps + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
     model.weights, model.pairs = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
@@ -175,7 +182,7 @@ def scores(model: Model, features: np.ndarray, sizes: np.ndarray, length: np.nda
     """The score of each text."""
     if model.constant is not None:
         return np.where(sizes > 0, model.constant, 0.0)
-    unary = model.weights[_placed(model.bins(features), sizes, BINS + 1)].sum(1) if len(features) else np.zeros(0)
+    unary = _unary(model.weights, _placed(model.bins(features), sizes, BINS + 1), BINS + 1) if len(features) else np.zeros(0)
     good = marginals(unary, model.pairs, sizes)[0]
     text = np.repeat(np.arange(len(sizes)), sizes)
     total = np.bincount(text, length, len(sizes))

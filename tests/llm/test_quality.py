@@ -1,5 +1,6 @@
 """The line classifier: inference against enumeration, accuracy on held-out documents."""
 
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -90,3 +91,15 @@ def test_few_texts_are_strings_at_a_time():
     assert max(len(block) for _, block in blocks) <= 500
     assert [t for _, block in blocks for t in block] == batch.column("text").to_pylist()
     assert [d for part, _ in blocks for d in part.column("doc_id").to_pylist()] == list(range(2_300))
+
+
+def test_training_memory_is_bounded_by_a_byte_a_bin():
+    """The driver holds a byte for each bin of a line and its neighbours; weights are looked up a few lines at a time."""
+    rng = np.random.default_rng(4)
+    sizes, labels = rng.integers(0, 40, 2_000), rng.integers(0, 2, 2_000)
+    features = rng.normal(size=(sizes.sum(), len(FEATURES))) + np.repeat(labels, sizes)[:, None]
+    tracemalloc.start()
+    fit(features, sizes, labels, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * features.nbytes
