@@ -46,6 +46,11 @@ SHORT = 256
 BLOCK_CHARS = 2 << 20
 #: Texts that a task is sent at a time.
 _BATCH = "1000"
+#: Documents of a block whose ids are gathered at a time, and bytes of its own words that are merged at a time.
+_GATHERED = 64
+_MERGED = 1 << 18
+#: A row group for each block: a reader holds one of them at a time, not all that its split has.
+_BLOCK_GROUPS = {"parquet.block.size": str(256 << 10), "parquet.page.size.row.check.min": "1"}
 _BUCKETS = 1 << 16
 _SEED = 42
 #: No id: above all ids.
@@ -211,16 +216,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _width(words: int) -> str:
+    """The type of the numbers of so many words."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def _unpacked(numbers: pa.Buffer, words: int, many: int) -> np.ndarray:
+    """The numbers of a block's words, of which it has so many."""
+    kind = np.dtype(_width(words))
+    return np.frombuffer(pa.Codec("zstd").decompress(numbers, many * kind.itemsize), kind)
+
+
 def numbered(cut: DataFrame, pattern: str) -> DataFrame:
     """Blocks of texts: (doc_ids, sizes, words, numbers), with ``sizes`` numbers of words for each text.
 
-    A number takes two bytes in a block of few words, else four.
+    A number takes two bytes in a block of few words, else four. The numbers are compressed until the ids of their block are
+    gathered (``_unpacked``): a task gets all its blocks at once, and both the JVM and Python hold them meanwhile.
     """
 
     def block(docs: list, sizes: list[int], numbers: list[int], words: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.string())),
-            pa.array([np.array(numbers, "<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
+            pa.array([pa.Codec("zstd", 3).compress(np.array(numbers, _width(len(words))).tobytes(), asbytes=True)], pa.binary()),
         ], ["doc_ids", "sizes", "words", "numbers"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +316,18 @@ def merged_ids(letters: np.ndarray, sizes: np.ndarray, pairs: tuple[np.ndarray,
     return ids[np.argsort(word, kind="stable")].astype("<i4"), np.bincount(word)
 
 
+def _merged(words: pa.Array, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``merged_ids`` of some words, a portion at a time, whatever their number."""
+    sizes = pc.binary_length(words).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="i8") // _MERGED)) + 1).tolist(), len(words)]
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        letters = "".join(words.slice(a, b - a).to_pylist()).encode()
+        parts.append(merged_ids(np.frombuffer(letters, "u1"), sizes[a:b], pairs))
+    ids, many = zip(*parts)
+    return np.concatenate(ids), np.concatenate(many)
+
+
 def _look_up(known):
     """Blocks with (found, lengths): the ids of all words of at most ``SHORT`` bytes, and how many each word has, -1 for the others."""
 
@@ -312,9 +341,7 @@ def _look_up(known):
                 words, at = lists[n].values, every[ends[n] : ends[n + 1]]
                 late = pc.binary_length(words).to_numpy() > SHORT
                 hit, own = (at >= 0) & ~late, (at < 0) & ~late
-                text = words.filter(pa.array(own))
-                many = pc.binary_length(text).to_numpy()
-                merged, many = merged_ids(np.frombuffer("".join(text.to_pylist()).encode(), "u1"), many, pairs)
+                merged, many = _merged(words.filter(pa.array(own)), pairs)
                 first, lengths = np.zeros(len(at), "i8"), np.full(len(at), -1, "<i4")
                 first[hit], lengths[hit] = starts[at[hit]], sizes[at[hit]]
                 first[own], lengths[own] = len(ids) + np.cumsum(many) - many, many
@@ -332,7 +359,7 @@ def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: s
     spark = docs.sparkSession
     ranks = Ranks(spark, path)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH):
-        blocks = written(numbered(pretokens.cut(texts(docs, id_col, text_col), pattern), pattern), "bpe-blocks", "zstd")
+        blocks = written(numbered(pretokens.cut(texts(docs, id_col, text_col), pattern), pattern), "bpe-blocks", "zstd", _BLOCK_GROUPS)
     counts = written(word_counts(blocks), "bpe-counts")
     words = frequent(counts, DICTIONARY).select("w", *ranks.constants()).select("w", ranks.fold(F.col("w")).alias("ids"))
     folded = written(words, "bpe-words").toArrow().combine_chunks()
@@ -349,15 +376,15 @@ def _prepared(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: s
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_ids, sizes, numbers, found, lengths, missing): blocks of documents for ``each_document``.
 
-    ``numbers`` has a word's number for each word of the documents, ``sizes`` of them each. ``lengths`` says how many ids a word has, or -1
+    ``numbers`` has a word's number for each word of the documents, compressed; ``sizes`` of them each. ``lengths`` says how many ids a word has, or -1
     for the next one in ``missing``, which are arrays of ids; the ids of the others are in ``found``, as little-endian 32-bit integers.
     """
     blocks, known = _prepared(docs, path, pattern, id_col, text_col)
     return blocks.mapInArrow(_look_up(known), _ENCODED)
 
 
-def _block_ids(numbers: bytes, sizes: np.ndarray, found: np.ndarray, lengths: np.ndarray, missing: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a block, and where each document's end."""
+def _block_ids(numbers: pa.Buffer, sizes: np.ndarray, found: np.ndarray, lengths: np.ndarray, missing: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each document of a block, gathered for some documents at a time."""
     own = missing.value_lengths().to_numpy()
     ids = np.concatenate([found, missing.flatten().to_numpy().astype("<i4")])
     late, many = lengths < 0, lengths.astype("i8")
@@ -365,9 +392,14 @@ def _block_ids(numbers: bytes, sizes: np.ndarray, found: np.ndarray, lengths: np
     starts = np.empty_like(many)
     starts[~late] = np.cumsum(many[~late]) - many[~late]
     starts[late] = len(found) + np.cumsum(own) - own
-    at = np.frombuffer(numbers, "<u2" if len(lengths) <= 1 << 16 else "<u4")
-    ends = np.concatenate([[0], np.cumsum(many[at])])[np.cumsum(sizes)]
-    return _sliced(starts[at], many[at], ids), ends
+    words = np.cumsum([0, *sizes])
+    every = _unpacked(numbers, len(lengths), int(words[-1]))
+    for i in range(0, len(sizes), _GATHERED):
+        cuts = words[i : i + _GATHERED + 1]
+        at = every[cuts[0] : cuts[-1]]
+        some = _sliced(starts[at], many[at], ids)
+        ends = np.concatenate([[0], np.cumsum(many[at])])[cuts - cuts[0]].tolist()
+        yield from (some[a:b] for a, b in zip(ends, ends[1:]))
 
 
 def _rows(schema: str, row):
@@ -378,9 +410,8 @@ def _rows(schema: str, row):
             for n in range(batch.num_rows):
                 found, lengths = (np.frombuffer(batch.column(c)[n].as_buffer(), "<i4") for c in ("found", "lengths"))
                 sizes = batch.column("sizes")[n].values.to_numpy()
-                ids, ends = _block_ids(batch.column("numbers")[n].as_buffer(), sizes, found, lengths, batch.column("missing")[n].values)
-                docs = batch.column("doc_ids")[n].as_py()
-                out = [row(doc, ids[a:b]) for doc, a, b in zip(docs, [0, *ends.tolist()], ends.tolist())]
+                ids = _block_ids(batch.column("numbers")[n].as_buffer(), sizes, found, lengths, batch.column("missing")[n].values)
+                out = list(map(row, batch.column("doc_ids")[n].as_py(), ids))
                 yield pa.RecordBatch.from_pylist(out, pa_schema)
 
     return rows

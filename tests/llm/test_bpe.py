@@ -1,9 +1,12 @@
 """Byte-level BPE against the tiktoken library."""
 
 import random
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -148,3 +151,41 @@ def test_rows_need_one_python_worker_a_task(docs):
     found = bytebpe.documents(table, FIRST, "doc_id long, ids array<int>", row)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.doc_id, list(r.ids)) for r in found.collect()) == encoded(table) == [(r.doc_id, library(FIRST).encode_ordinary(r.text or "")) for r in table.collect()]
+
+
+def test_a_reader_holds_a_block_at_a_time(docs, monkeypatch):
+    """A row group for each block, and numbers that stay compressed until their block's turn: a task's split has many blocks."""
+    monkeypatch.setattr(bytebpe, "BLOCK_CHARS", 400_000)
+    rng = random.Random(5)
+    table = docs(*((i, " the ".join(str(rng.randrange(60_000)) for _ in range(60_000))) for i in range(4))).coalesce(1)
+    blocks, _ = bytebpe._prepared(table, FIRST, public_tokenizers.PATTERN, "doc_id", "text")
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) >= 2 and set(groups) == {1}
+    for b in blocks.collect():
+        many = sum(b.sizes)
+        assert len(b.words) > 30_000 and len(b.numbers) < 2 * many
+        assert set(bytebpe._unpacked(pa.py_buffer(bytes(b.numbers)), len(b.words), many).tolist()) == set(range(len(b.words)))
+
+
+def test_many_documents_of_a_block(docs):
+    """Ids are gathered for some documents of a block at a time; empty ones and long words are among them."""
+    texts = [None, "", "x" * 300, "a few words here", " \n"]
+    table = docs(*((i, texts[i % 5] and f"{texts[i % 5]} {i}") for i in range(3 * bytebpe._GATHERED + 5))).coalesce(1)
+    check = library(FIRST)
+    assert len(encode(table, FIRST).collect()) == 1
+    assert encoded(table) == sorted(((r.doc_id, check.encode_ordinary(r.text or "")) for r in table.collect()), key=str)
+
+
+def test_words_are_merged_in_portions(monkeypatch):
+    """However many words a block has that are in no dictionary."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinrst é日bcd") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    pairs, whole, sizes = bytebpe.pair_table(read_ranks(FIRST)), bytebpe.merged_ids, []
+    raw = [w.encode() for w in words]
+    expected = whole(np.frombuffer(b"".join(raw), "u1"), np.array(list(map(len, raw))), pairs)
+    monkeypatch.setattr(bytebpe, "_MERGED", 1_000)
+    monkeypatch.setattr(bytebpe, "merged_ids", lambda letters, *rest: (sizes.append(len(letters)), whole(letters, *rest))[1])
+    found = bytebpe._merged(pa.array(words), pairs)
+    assert all(map(np.array_equal, found, expected)) and max(sizes) < 1_200 and sum(sizes) == sum(map(len, raw))
+    assert [len(x) for x in bytebpe._merged(pa.array([], pa.string()), pairs)] == [0, 0]
